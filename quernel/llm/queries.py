@@ -3,15 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quernel.llm import tokenizer
+from quernel.llm import neighbours, tokenizer
 from quernel.session import table
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tbl, id, v) of the usable vectors of chunks and memories."""
+    chunks = neighbours.usable(table(spark, sf_dir, "chunks"), "chunk_id", "embedding", 64)
+    memories = neighbours.usable(table(spark, sf_dir, "memories"), "memory_id", "embedding", 64)
+    return chunks.select(F.lit("chunks").alias("tbl"), "id", "v").unionByName(memories.select(F.lit("memories").alias("tbl"), "id", "v"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.pairs(neighbours.neighbours(vectors(spark, sf_dir)))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p6_ids": p6_ids}
+QUERIES = {"p1_found": p1_found, "p6_ids": p6_ids}
 
 SQL: dict[str, str] = {}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import neighbours, tokenizer
-from quernel.session import table
+from quernel.llm import lookalikes, neighbours, packing, tokenizer
+from quernel.session import settle, table
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,10 +20,25 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.pairs(neighbours.neighbours(vectors(spark, sf_dir)))
 
 
+def looks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tbl, id, look, stored) of the texts of chunks, golden and memories."""
+    columns = {"chunks": ("chunk_id", "content"), "golden": ("question_id", "question"), "memories": ("memory_id", "content")}
+    parts = [lookalikes.looks(table(spark, sf_dir, t), *c).select(F.lit(t).alias("tbl"), "id", "look", "stored") for t, c in columns.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.alike(settle(looks(spark, sf_dir), "looks"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p6_ids": p6_ids}
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.containers(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
 
 SQL: dict[str, str] = {}

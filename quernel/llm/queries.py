@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import lookalikes, neighbours, packing, tokenizer
+from quernel.llm import boilerplate, lookalikes, neighbours, packing, tokenizer
 from quernel.session import settle, table
 
 
@@ -31,6 +31,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.alike(settle(looks(spark, sf_dir), "looks"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extracted = table(spark, sf_dir, "extracted").select(F.lit("extracted").alias("tbl"), F.col("page_id").alias("row_id"), "url", "text")
+    results = table(spark, sf_dir, "search_results").select(F.lit("search_results").alias("tbl"), F.col("result_id").alias("row_id"), "url", F.col("snippet").alias("text"))
+    return boilerplate.main_text(extracted.unionByName(results))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode(table(spark, sf_dir, "documents"))
 
@@ -39,6 +45,6 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.containers(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
 
 SQL: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import boilerplate, lookalikes, neighbours, packing, tokenizer
+from quernel.llm import boilerplate, incremental, lookalikes, neighbours, packing, tokenizer
 from quernel.session import settle, table
 
 
@@ -31,6 +31,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.alike(settle(looks(spark, sf_dir), "looks"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select(F.lit(0).alias("kind"), F.col("doc_id").alias("id"), F.lit("").alias("domain"), "batch_no", "text")
+    domain = F.concat(F.coalesce("scope", F.lit("?")), F.lit(" "), F.coalesce(F.concat(F.lit("of "), "owner_user_id"), F.lit("")))
+    memories = table(spark, sf_dir, "memories").select(F.lit(1).alias("kind"), F.col("memory_id").alias("id"), domain.alias("domain"), "batch_no", F.col("content").alias("text"))
+    return incremental.repeats(documents.unionByName(memories), spark)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     extracted = table(spark, sf_dir, "extracted").select(F.lit("extracted").alias("tbl"), F.col("page_id").alias("row_id"), "url", "text")
     results = table(spark, sf_dir, "search_results").select(F.lit("search_results").alias("tbl"), F.col("result_id").alias("row_id"), "url", F.col("snippet").alias("text"))
@@ -45,6 +52,6 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.containers(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
 
 SQL: dict[str, str] = {}

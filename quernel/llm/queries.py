@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import boilerplate, incremental, lookalikes, neighbours, packing, tokenizer
+from quernel.llm import boilerplate, defects, incremental, lookalikes, neighbours, packing, tokenizer
 from quernel.session import settle, table
 
 
@@ -20,6 +20,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.pairs(neighbours.neighbours(vectors(spark, sf_dir)))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = table(spark, sf_dir, "answers").select(F.col("answer_id").alias("id"), "query", "text", F.col("is_refusal").alias("refusal"))
+    return defects.defects(answers).withColumnRenamed("id", "answer_id")
+
+
 def looks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tbl, id, look, stored) of the texts of chunks, golden and memories."""
     columns = {"chunks": ("chunk_id", "content"), "golden": ("question_id", "question"), "memories": ("memory_id", "content")}
@@ -52,6 +57,6 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.containers(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
 
 SQL: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import boilerplate, defects, incremental, lookalikes, neighbours, packing, tokenizer
+from quernel.llm import boilerplate, defects, incremental, lookalikes, neighbours, packing, tokenizer, toxicity
 from quernel.session import settle, table
 
 
@@ -57,6 +57,22 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.containers(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.flagged(scored(spark, sf_dir))
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(spark, sf_dir)
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rates(scored(spark, sf_dir))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_rates": p8_rates, "p8_scores": p8_scores}
 
 SQL: dict[str, str] = {}

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 SAMPLE_ROWS = 2000  # pairs on which the field is trained
+SAMPLE_CLAUSES = 40  # longer responses are left out of training; they are judged whole
 ENDS, WORDS = 1 << 18, 1 << 16  # cells of the tables of word pairs and of words
 LANGUAGES = ("en", "de", "fr", "es", "zh")
 
@@ -246,7 +247,7 @@ def training(sample: list[tuple[str, str, bool | None]], make: Features, seed: i
 
     def learn(query: str, text: str, tags: dict[int, int] | None = None, every: int | None = None) -> None:
         parts = clauses(text)
-        if not parts:
+        if not parts or len(parts) > SAMPLE_CLAUSES:
             return
         x = make(query, parts, text)
         # a clause is a refusal by its words; that of a pair marked as one need not be
@@ -259,7 +260,7 @@ def training(sample: list[tuple[str, str, bool | None]], make: Features, seed: i
     whole = []
     for query, text, refusal in sample:
         parts = clauses(text)
-        if not parts or not query:
+        if not parts or not query or len(parts) > SAMPLE_CLAUSES:
             continue
         x = make(query, parts, text)
         if x[:, 2].any() or x[:, 4].any() or x[-1, 8]:

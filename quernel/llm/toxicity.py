@@ -134,8 +134,6 @@ def features(text: str | None) -> list[float]:
     out["marks"] = sum(map(low.count, "!?*$@")) / n
     out["hidden words"], out["log length"] = hidden / n * 1000, float(np.log1p(n))
     you = [s for k, s, _ in found if k == len(ABUSE)]
-    for k, name in enumerate(ABUSE):
-        out[f"density {name}"] = sum(a[0] == k for a in abuse) / n * 1000
     if abuse:
         edges = [0, *(m.end() for m in _BOUND.finditer(low)), n + 1]
         place = lambda s: bisect_right(edges, s) - 1
@@ -151,11 +149,13 @@ def features(text: str | None) -> list[float]:
             if k >= len(ABUSE) and (v := by.get(place(s))):
                 v["context"][k - len(ABUSE)] += 1
         weigh = lambda v: len(v["starts"]) + 1.5 * v["phrases"] + v["hidden"] + 0.5 * (v["context"][0] > 0) + 0.5 * (v["context"][1] > 0) - sum(v["context"][2:])
+        for k, name in enumerate(ABUSE):  # sentences about machines, medicine or rules don't count
+            out[f"density {name}"] = sum(v["kinds"][k] for v in by.values() if len(v["starts"]) > sum(v["context"][2:])) / n * 1000
         at = max(by, key=lambda i: weigh(by[i]))
         v, part = by[at], shown[edges[at] : edges[at + 1]]
         for k, name in enumerate(ABUSE):
-            out[f"worst {name}"] = float(v["kinds"][k])
-        out["worst hits"], out["worst phrases"], out["worst hidden"] = float(len(v["starts"])), float(v["phrases"]), float(v["hidden"])
+            out[f"worst {name}"] = max(0.0, float(v["kinds"][k] - sum(v["context"][2:])))
+        out["worst hits"], out["worst phrases"], out["worst hidden"] = max(0.0, float(len(v["starts"]) - sum(v["context"][2:]))), float(v["phrases"]), float(v["hidden"])
         for name, x in zip(("second person", "group", "technical", "medical", "rules"), v["context"]):
             out[f"worst {name}"] = float(x)
         near = min((abs(s - y) for s in v["starts"] for y in you if place(y) == at), default=200)
@@ -185,7 +185,7 @@ def measured(documents: DataFrame) -> DataFrame:
     return slim.mapInArrow(run, "doc_id bigint, source string, x array<double>, prior double")
 
 
-def scores(documents: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS, trees: int = 20, depth: int = 3, seed: int = 11) -> DataFrame:
+def scores(documents: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS, trees: int = 20, depth: int = 2, seed: int = 11) -> DataFrame:
     """(doc_id, source, score) for each row of documents; labels(doc_id, toxic) are ratings of some of them.
 
     A document with several ratings has their mean; even ones are left out of training, as are null
@@ -201,7 +201,7 @@ def scores(documents: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS
         few.unpersist()
         return whole.select("doc_id", "source", F.col("prior").alias("score"))
     held = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(3)) == 0
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, minInstancesPerNode=3, seed=seed).fit(few.where(~held))
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, minInstancesPerNode=5, seed=seed).fit(few.where(~held))
     share = vector_to_array("probability")[1].alias("share")
     isotonic = IsotonicRegression(featuresCol="share").fit(model.transform(few.where(held)).select("label", share))
     few.unpersist()

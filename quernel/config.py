@@ -19,6 +19,7 @@ class Config:
     similarity: float = 0.92
     grounded: float = 0.6
     dimension: int = 64
+    web_chars: int = 4000
 
 
 DEFAULTS = Config()

@@ -45,10 +45,10 @@ def faithfulness(verdicts: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     return out.withColumn("faithfulness", F.round(F.col("supported") / F.col("claims"), 4)).withColumn("grounded", F.col("faithfulness") >= cfg.grounded)
 
 
-def web_evidence(results: DataFrame, limit: int = 200) -> DataFrame:
+def web_evidence(results: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
     """(result_id, url, content, trust): safe results with a cleaned, cut and sanitized snippet; the first of each URL."""
     safe = results.where(text.safe_url(F.col("url")) & (F.trim(F.coalesce("snippet", F.lit(""))) != ""))
-    return once(safe, "url", ["result_id"]).select("result_id", "url", text.clean_web(F.col("snippet"), limit).alias("content"), F.lit("draft").alias("trust"))
+    return once(safe, "url", ["result_id"]).select("result_id", "url", text.clean_web(F.col("snippet"), cfg.web_chars).alias("content"), F.lit("draft").alias("trust"))
 
 
 def references(claims: DataFrame, key: str, order: list[str]) -> DataFrame:

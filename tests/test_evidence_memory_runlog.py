@@ -102,3 +102,10 @@ def test_windows_and_quantiles(spark):
     assert runlog.quantile(h, 0.5).first().q == 5.0
     s = spark.createDataFrame([(i, i >= 2) for i in range(6)], "slot int, b boolean")
     assert [r.alert for r in runlog.held(s, F.col("b"), 3).orderBy("slot").collect()] == [False, False, False, False, True, True]
+
+
+def test_web_evidence_keeps_4000_characters(spark):
+    long = "word " * 1000
+    rows = [(1, "https://a.example/1", "same start " * 30 + "one"), (2, "https://a.example/2", "same start " * 30 + "two"), (3, "https://a.example/3", long)]
+    got = {r.result_id: r.content for r in evidence.web_evidence(spark.createDataFrame(rows, "result_id bigint, url string, snippet string")).collect()}
+    assert got == {1: rows[0][2], 2: rows[1][2], 3: long[:4000]}

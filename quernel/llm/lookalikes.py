@@ -60,7 +60,7 @@ def prototypes() -> dict[int, str]:
     for written, look in [*LATIN_LOOKS.values(), RADICAL_LOOKS]:
         out |= {ord(a): b for a, b in zip(written, look, strict=True)}
     out |= {ord(a): b for a, b in SIGN_LOOKS.items()}
-    return {i: "".join(out.get(ord(c), c) for c in s) for i, s in out.items()}
+    return {i: form for i, s in out.items() if (form := "".join(out.get(ord(c), c) for c in s)) != chr(i)}
 
 
 def _joins(c: str) -> bool:
@@ -69,14 +69,14 @@ def _joins(c: str) -> bool:
 
 
 def skeleton(text: str) -> str:
-    if text.isascii() and text.isprintable():
-        return text.strip()
-    table = prototypes()
+    if text.isascii() and (text.isprintable() or text.replace("\n", "").isprintable()):
+        return _SPACES.sub("", text).strip() if " \n" in text else text.strip()
     text = unicodedata.normalize("NFD", text.replace("\r\n", "\n"))
     if _JOINER.search(text):
         bare = text.translate({i: "" for i in (*range(0xFE00, 0xFE10), 0x200B, 0x2060, 0xFEFF, 0xAD, 0x200E, 0x200F)})
         text = _JOINER.sub(lambda m: m[0] if 0 < m.start() < len(bare) - 1 and _joins(bare[m.start() - 1]) and _joins(bare[m.start() + 1]) else "", bare)
-    text = unicodedata.normalize("NFD", text.translate(table))
+    if not prototypes().keys().isdisjoint(map(ord, set(text))):
+        text = unicodedata.normalize("NFD", text.translate(prototypes()))
     return _SPACES.sub("", text).strip()
 
 

@@ -1,11 +1,14 @@
 """The main text of web pages, by differencing pages that are neighbours by URL.
 
-Pages of one host are put in the order of their URL paths, in blocks of bounded size. Each page is
-compared with its nearest pages: their lines are aligned by longest common subsequence (numbers
-and the host's name masked), and a line that most of the compared pages share is deleted. What no
-neighbour can show - a breadcrumb, a byline, a teaser or a comment that is new on every page, and
-pages whose host has no others - is decided afterwards by the form of the line: its marks, the words
-of navigation that the block's deleted lines taught, and a short list of phrases.
+Pages are put in the order of their hosts and URL paths and cut into ranges of bounded size, with a few
+pages of overlap. Each page is compared with its nearest pages: their lines are aligned by longest common
+subsequence (numbers and the host's name masked), and what neighbours share is deleted. A line that
+was shared once is known as furniture on all pages of its host, and if several hosts taught it, on
+all pages; the short parts of such lines are known as words of navigation, by which breadcrumbs are
+found. Nothing is known that no two neighbours shared: there are no lists of phrases.
+
+After the last line that has the form of main text - running text, an item, a row of a table, a
+command - come titles of other pages and comments, which are new on every page; they are deleted too.
 """
 
 from __future__ import annotations
@@ -13,59 +16,31 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_PAGES = 512
-NEIGHBOURS = 3  # on each side
-SHARED = 0.5  # share of the compared pages that have the line
-
-#: Phrases of page furniture in five languages.
-PHRASES = r"""
-© | \(c\)\ \d{4} | all\ rights\ reserved | alle\ rechte\ vorbehalten | tous\ droits\ réservés | todos\ los\ derechos\ reservados | 版权所有
-| ^powered\ by\b | ^(?:imprint|impressum|mentions\ légales|aviso\ legal|法律声明)\b | ^(?:registered\ office|sitz|siège|domicilio(?:\ social)?|sede|注册地址|地址)\s?[:：] | 备案编号 | ^sitemap$ | ^plan\ du\ site$ | ^mapa\ del\ sitio$ | ^网站地图$
-| ^(?:back\ to\ top|nach\ oben|haut\ de\ page|volver\ arriba|返回顶部)$ | ^(?:follow\ us|folgen\ sie\ uns|suivez-nous|síganos|关注我们)\b | (?:trademarks\ belong|marken\ gehören|les\ marques\ appartiennent|las\ marcas\ pertenecen|商标归) | ohne\ gewähr | ^all\ prices\ include | ^alle\ preise\b | ^tous\ les\ prix | ^(?:todos\ los\ )?precios\ con\b | 价格均含
-| ^(?:share|share\ this(?:\ page)?|seite\ teilen|teilen|partager|compartir|分享到.*|tweet\b.*)$ | ^(?:print|drucken|imprimer|imprimir|打印)\b\s*[|·/].* | ^(?:rate\ this\ page|seite\ bewerten|notez\ cette\ page|valore\ esta\ página|为本页评分) | ★
-| ^\#\ (?:views?|aufrufe|vues|visitas|comments?|kommentare|commentaires|comentarios)$ | ^浏览\ ?\#\ ?次$ | ^\#\ ?条评论$ | ^(?:\#\ min\ read|lesezeit\b.*|lecture\s?:.*|lectura\s?:.*|阅读约.*)$
-| ^(?:posted|published|veröffentlicht|publié|publicado|发布于|last\ updated|zuletzt\ aktualisiert|stand:|dernière\ mise|mis\ à\ jour|actualizado|última\ actualización|最后更新|更新于)\b.*\#
-| ^发布于.*$ | ^最后更新.*$ | ^更新时间.*$
-| ^(?:tags?|popular\ tags|schlagwörter|beliebte\ schlagwörter|mots-clés|étiquettes|etiquetas|etiquetas\ populares|标签|热门标签|categories|kategorien|catégories|categorías|分类)\s?(?:[:：(]|（).*
-| ^(?:log\ in|sign\ in|login)\ to\b.* | ^zum\ kommentieren\b.* | ^connectez-vous\b.* | ^inicie\ sesión\b.* | ^登录后.* | ^(?:leave\ a\ (?:reply|comment)|kommentar\ schreiben|laisser\ un\ commentaire|deja\ un\ comentario|发表评论)
-| ^[—–-]+\s?(?:advertisement|anzeige|publicité|publicidad|广告)\s?[—–-]+$ | ^(?:advertisement|anzeige|publicité|publicidad|广告|sponsored|gesponsert|sponsorisé|patrocinado|赞助)\b.{0,12}$
-| ^(?:you\ might\ also\ like|related\ (?:articles|posts)|recent\ comments|most\ read|newest\ members|read\ also|see\ also:|ähnliche\ beiträge|neueste\ (?:kommentare|mitglieder)|meistgelesen|das\ könnte\ sie\ auch|articles\ liés|à\ lire\ aussi|derniers\ (?:commentaires|membres|inscrits)|les\ plus\ lus|artículos\ relacionados|lo\ más\ leído|últimos\ (?:comentarios|miembros)|también\ (?:le|te)|最新评论|热门阅读|相关文章|最新会员|新会员|您可能|猜你喜欢)\b.{0,40}$
-| ^(?:read\ also|lesen\ sie\ auch|à\ lire\ aussi|lea\ también|lire\ aussi|另请阅读|延伸阅读)\s?[:：].* | ^(?:more\ from|mehr\ aus|plus\ de|más\ de)\ .{0,30}:$
-| newsletter | rundbrief | ^abonnez-vous | ^¡?suscríbase | 订阅 | ^(?:sign\ up|register)\ (?:now|for)\b | kostenlos\ testen | ^essa[iy].*gratuit | gratuit(?:ement)?\ pendant | ^prueb[ae].*gratis | gratis\ durante | 免费试用 | ^(?:click\ here|hier\ klicken|cliquez\ ici|haga\ clic|pulse\ aquí|点击(?:此处|这里))\b.* | ^点击.{0,8}$ | (?:free|kostenlose?|gratuite?|gratis|免费).{0,14}(?:\bapp\b|application|aplicación|应用)|(?:app|application|aplicación)\ (?:jetzt|gratuite|gratis)
-| ^(?:we|this\ site)\ (?:use|uses|stores?)\b.*(?:cookies?|files\ on\ your\ device) | ^(?:accept|alle)\ cookies | ^cookie\ preferences | ^wir\ verwenden\ cookies | ^mit\ der\ nutzung | ^datenschutz-einstellungen | ^nous\ utilisons\ des\ (?:cookies|traceurs) | ^en\ poursuivant | ^ce\ site\ (?:utilise|dépose) | ^usamos\ cookies | ^este\ sitio\ (?:usa|utiliza|guarda) | ^si\ sigue\ navegando | ^本站使用 | ^本网站使用 | ^继续浏览 | ^your\ privacy\ matters | cookies?\ (?:accepted|akzeptieren)$ | ^accepter\ les\ cookies | ^aceptar\ cookies | ^接受.{0,4}cookie | ^préférences\ de\ cookies | ^preferencias\ de\ cookies | ^cookie.{0,4}(?:设置|偏好|einstellungen)
-| ^(?:got\ it!?|ok(?:ay)?|verstanden!?|einverstanden|j'ai\ compris|entendido|我知道了)$
-| (?:page\ not\ found|seite\ nicht\ gefunden|page\ introuvable|página\ no\ encontrada|页面不存在|找不到(?:该)?页面|页面未找到) | (?:enable|activate|aktivieren|activez|active|启用).{0,20}javascript | javascript.{0,30}(?:disabled|aktivieren|activ|启用) | ^(?:session|sitzung|sesión).{0,30}(?:expired|abgelaufen|expiré|caducad|expirad).{0,60}$ | ^会话已过期 | ^(?:loading|wird\ geladen|chargement|cargando|加载中|正在加载).{0,20}$ | ^(?:access\ denied|zugriff\ verweigert|accès\ refusé|acceso\ denegado|拒绝访问|禁止访问).{0,60}$ | ^(?:please\ )?(?:log|sign)\ in(?:\ to\ continue)?[.!]?$ | ^bitte\ (?:melden\ sie\ sich|anmelden).{0,30}$ | ^veuillez\ vous\ connecter.{0,30}$ | ^请(?:先)?登录.{0,10}$
-| ^[\w.-]+:\s(?:thanks|thank\ you|danke|merci|gracias|谢谢|same\ here|me\ too)\b.* | ^[a-z]+_?\#\s?[:：]\s?.{0,80}$
-"""
-#: Words of navigation bars in five languages.
-NAVIGATION = """
-home, start, menu, search, contact, language, blog, forum, products, pricing, careers, jobs, events, partners, downloads, support, help, docs, sign in, log in, login, register, my account, account, cart, cart (#), shop, about us, news
-startseite, menü, suche, kontakt, sprache, produkte, preise, karriere, termine, partner, hilfe, dokumentation, anmelden, registrieren, konto, mein konto, warenkorb, warenkorb (#), über uns
-accueil, recherche, langue, produits, tarifs, emplois, agenda, partenaires, téléchargements, assistance, aide, connexion, compte, mon compte, panier, panier (#), à propos, actualités
-inicio, menú, buscar, contacto, idioma, foro, productos, precios, empleo, eventos, socios, descargas, soporte, ayuda, entrar, iniciar sesión, cuenta, mi cuenta, carrito, carrito (#), tienda, noticias
-首页, 菜单, 搜索, 联系我们, 语言, 博客, 论坛, 产品, 价格, 招聘, 活动, 合作伙伴, 下载, 支持, 帮助, 文档, 登录, 注册, 我的账户, 账户, 购物车, 购物车(#), 购物车(#), 关于我们, 新闻
-"""
-_ALL = [x for x in re.split(r"\s\|\s", " " + PHRASES.replace("\n", " \n")) if x.strip()]
-_FIRST = re.compile("|".join(x.strip()[1:] for x in _ALL if x.strip().startswith("^")), re.X | re.I)
-_ANYWHERE = re.compile("|".join(x.strip() for x in _ALL if not x.strip().startswith("^")), re.X | re.I)
-_NAVIGATION = {w.strip() for line in NAVIGATION.split("\n") for w in line.split(",")} - {""}
+from quernel.session import settle
+
+RANGE_PAGES = 4_000  # pages of a range
+NEIGHBOURS = 5  # on each side
+SHARED = 0.5  # share of the compared pages that have a line which is deleted amid main text
+FIRM = 0.15  # share of the pages with a line on which it was so
+TAUGHT_PAGES = 2  # pages of a host on which neighbours shared a line that is known on all its pages
+TAUGHT_HOSTS = 2  # hosts that know a line which is known on all hosts
+HEADING_PAGES = 3  # a heading with nothing below it comes on so many pages of its host; a title doesn't
+BROADCAST_ROWS = 500_000  # a side of at most so many rows is broadcast; beyond it the join shuffles
+
 _NUMBER = re.compile(r"\d+")
 _PARTS = re.compile(r"\s+[>»›/|·→•]\s+|\s?[»›|]\s?|\s{2,}")
 _CLOSED = re.compile(r"[.!?。!?…:;:][\"'”»）)\]]*$")
 _ITEM = re.compile(r"^\s*(?:[-*•–·‣▪]|\d+[.)]|[a-z][.)])\s+\S")
-
-
-@lru_cache(200_000)
-def furniture(key: str) -> bool:
-    """Whether a masked line has one of the phrases."""
-    return bool(_FIRST.match(key) or _ANYWHERE.search(key))
+_LABEL = re.compile(r"^[^:：\t|]{2,30}[:：]")
+_LINES = "host string, tbl string, row_id bigint, page bigint, line_no bigint, i int, n int, key bigint, first boolean, hits int, compared int, sentence boolean, anchor boolean, item boolean, labelled boolean, parts array<bigint>, words array<bigint>"
 
 
 def mask(line: str, host: str = "") -> str:
@@ -84,13 +59,12 @@ def _parts(line: str) -> list[str]:
     return [w for w in (x.strip() for x in _PARTS.split(line)) if w]
 
 
-def common(a: list[tuple], b: list[tuple]) -> list[int]:
-    """Indexes of a in a longest common subsequence of a and b, whose items are unique within each.
+def common(a: list[tuple], at: dict[tuple, int]) -> list[int]:
+    """Indexes of a in a longest common subsequence of a and b, whose items are unique within each; ``at`` gives their places in b.
 
     (A line and how often it came before are one item; then the subsequence is a longest increasing
     one of positions, found in n log n.)
     """
-    at = {x: i for i, x in enumerate(b)}
     ends: list[int] = []
     last: list[int] = []
     back: dict[int, int] = {}
@@ -129,79 +103,143 @@ def anchor(line: str) -> bool:
     return "\t" in line.strip() or bool(_ITEM.match(line)) or line.lstrip().startswith(("|", "```")) or bool(re.match(r"^\s*\S+(?:\s\S+)?=\S+$", line)) or bool(re.match(r"^\s*(?:set|apply|get|run)\s[-\w.]+", line)) or sentence(line)
 
 
-def main_lines(pages: list[dict]) -> list[list[int]]:
-    """The numbers of the main lines of each page of a block {host, url, text}, in URL order."""
-    lines = [p["text"].split("\n") for p in pages]
-    full = [[i for i, x in enumerate(ls) if x.strip()] for ls in lines]
-    keys = [[mask(lines[n][i], p["host"]) for i in full[n]] for n, p in enumerate(pages)]
+@lru_cache(200_000)
+def _number(value: str) -> int:
+    return int.from_bytes(blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def aligned(pages: list[dict], neighbours: int = NEIGHBOURS) -> list[tuple]:
+    """The non-blank lines (_LINES) of pages {host, path, tbl, row_id, text, own} in URL order, held against up to ``neighbours`` pages on each side; of the pages with ``own``.
+
+    A line is compared by its masked text, or, if it begins with a label and a colon and isn't running text, by the label.
+    """
+    lines = [[(n, x) for n, x in enumerate(p["text"].split("\n")) if x.strip()] for p in pages]
+    masked = [[mask(x, p["host"]) for _, x in ls] for p, ls in zip(pages, lines)]
+    told = [[(k, sentence(x), _LABEL.match(k)) for k, (_, x) in zip(ks, ls)] for ks, ls in zip(masked, lines)]
+    keys = [[label[0] if label and not whole else k for k, whole, label in ts] for ts in told]
     items = [numbered(k) for k in keys]
-    hits = [Counter() for _ in pages]
-    compared = [0] * len(pages)
+    places = [{x: i for i, x in enumerate(xs)} for xs in items]
+    hits, compared = [Counter() for _ in pages], [0] * len(pages)
     for n, p in enumerate(pages):
         near, m = 0, n + 1
-        while near < NEIGHBOURS and m < len(pages):
-            q = pages[m]
-            if q["url"] != p["url"] and q["text"] != p["text"] and keys[n] and keys[m]:
+        while near < neighbours and m < len(pages) and pages[m]["host"] == p["host"]:
+            if pages[m]["text"] != p["text"]:
                 near += 1
-                same = common(items[n], items[m])
-                other = {x: i for i, x in enumerate(items[m])}
+                same = common(items[n], places[m])
                 hits[n].update(same)
-                hits[m].update(other[items[n][i]] for i in same)
+                hits[m].update(places[m][items[n][i]] for i in same)
                 # a short page, like a snippet, can't show that a line of a long one is its own
                 compared[n] += len(keys[m]) * 3 >= len(keys[n])
                 compared[m] += len(keys[n]) * 3 >= len(keys[m])
             m += 1
-    share = [{i: h / compared[n] for i, h in hits[n].items() if compared[n] and h > (compared[n] > 1)} for n in range(len(pages))]
-    known = Counter(keys[n][i] for n in range(len(pages)) for i, f in share[n].items() if f >= SHARED)
-    often = Counter(k for ks in keys for k in set(ks))
-    words = {w for k in known if not _CLOSED.search(k) for w in [k, *_parts(k)] if w and len(w.split()) <= 3} | _NAVIGATION
     out = []
-    for n in range(len(pages)):
-        page, gone = [lines[n][i] for i in full[n]], set()
-        own = [i for i, x in enumerate(page) if share[n].get(i, 0) < SHARED and anchor(x) and not furniture(keys[n][i])]
-        for i, (x, k) in enumerate(zip(page, keys[n])):
-            parts, label = _parts(mask_spaced(x, pages[n]["host"])), not sentence(x)
-            plain = label and "\t" not in x and not x.lstrip().startswith(("|", "```")) and not _ITEM.match(x)
-            crumb = plain and (len(parts) >= 3 or len(parts) == 2 and parts[0] in words or all(w in words for w in parts))
-            inside = bool(own) and own[0] < i < own[-1]  # amid main text, a line that some pages share is a heading
-            if furniture(k) and not x.lstrip().startswith(("- ", "* ")) or crumb:
-                gone.add(i)
-            elif share[n].get(i, 0) >= (0.8 if inside else SHARED) and not (sentence(x) and known[k] < 3) and not (inside and compared[n] < 3):
-                gone.add(i)
-            elif known[k] >= 3 and plain and (len(page) <= 8 or i == 0):
-                gone.add(i)
-        # after the last line that only main text has come comments, teasers and titles of other pages
-        anchors = [i for i, x in enumerate(page) if i not in gone and anchor(x)]
-        if anchors:
-            heading = anchors[-1] + 1  # with nothing below it; unlike a title, it comes again on other pages
-            keep = heading < len(page) and heading not in gone and often[keys[n][heading]] >= 3
-            gone |= set(range(heading + keep, len(page)))
-        elif len(page) > 4:
-            gone |= {i for i in range(len(page)) if i not in gone and i > min((j for j in range(len(page)) if j not in gone), default=0)}
-        out.append([full[n][i] for i in range(len(page)) if i not in gone])
+    for n, p in enumerate(pages):
+        if not p["own"]:
+            continue
+        page = _number(p["path"] + "\n" + p["text"])
+        for i, ((line_no, x), (k, whole, label)) in enumerate(zip(lines[n], told[n])):
+            item, parts, words = bool(_ITEM.match(x)), [], []
+            if not (whole or item or "\t" in x or x.lstrip().startswith(("|", "```"))):
+                parts = [_number(w) for w in _parts(mask_spaced(x, p["host"]))]
+            key = keys[n][i]
+            if not _CLOSED.search(key):
+                words = [_number(w) for w in {key, *_parts(key)} if w and len(w.split()) <= 3]
+            out.append((p["host"], p["tbl"], p["row_id"], page, line_no, i, len(lines[n]), _number(key), items[n][i][1] == 0, hits[n][i], compared[n], whole, anchor(x), x.lstrip().startswith(("- ", "* ")), bool(label) and not whole, parts, words))
     return out
 
 
-def main_text(pages: DataFrame) -> DataFrame:
+def _ranges(pages: DataFrame, neighbours: int) -> DataFrame:
+    """(host, path, tbl, row_id, text, part, own): ranges of the URL order, each with the pages next to it, of which ``own`` is false."""
+    order = ["host", "path", "tbl", "row_id"]
+    count = -(-pages.count() // RANGE_PAGES)
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, seen, last = TaskContext.get().partitionId(), 0, None
+        for b in batches:
+            if b.num_rows:
+                tail = pa.concat_batches([last, b]) if last is not None else b
+                last = tail.slice(max(0, tail.num_rows - neighbours))
+                yield _placed(b, part, True)
+                if part and seen < neighbours:
+                    yield _placed(b.slice(0, neighbours - seen), part - 1, False)
+                seen += b.num_rows
+        if last is not None:
+            yield _placed(last, part + 1, False)
+
+    ranged = pages.repartitionByRange(max(1, count), *order).sortWithinPartitions(*order, F.xxhash64("text"))
+    return ranged.mapInArrow(edges, "host string, path string, tbl string, row_id bigint, text string, part int, own boolean")
+
+
+def _placed(b: pa.RecordBatch, part: int, own: bool) -> pa.RecordBatch:
+    n = b.num_rows
+    return pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * n, pa.int32()), pa.array([own] * n, pa.bool_())], [*b.schema.names, "part", "own"])
+
+
+def lines(pages: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """_LINES of all pages(host, path, tbl, row_id, text)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda p: (p["host"], p["path"], p["tbl"], p["row_id"], p["text"], not p["own"]))
+        fine = [p for i, p in enumerate(rows) if not i or any(p[c] != rows[i - 1][c] for c in ("host", "path", "tbl", "row_id", "text"))]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), *[pa.bool_()] * 4, pa.list_(pa.int64()), pa.list_(pa.int64())]
+        columns = list(zip(*aligned(fine, neighbours))) or [[]] * len(kinds)
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in _LINES.split(", ")])
+
+    return _ranges(pages, neighbours).groupBy("part").applyInArrow(run, _LINES)
+
+
+def _slim(side: DataFrame) -> DataFrame:
+    """A settled side, broadcast if it was counted to be small."""
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
+
+def main_text(pages: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
     """(tbl, row_id, line_no) of the non-blank main lines, from pages(tbl, row_id, url, text).
 
     Lines are parted by a line feed and counted from 0, blank ones included. Null, empty and blank
     texts and null ids have no rows; rows delivered twice count once; pages without a URL form a host
-    of their own. A host of many pages is worked on in blocks of about 512, set by a hash.
+    of their own.
     """
     url = F.coalesce("url", F.lit(""))
     host = F.coalesce(F.nullif(F.lower(F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit("")), F.lit(""))
     path = F.regexp_replace(url, r"^[a-zA-Z][\w+.-]*://[^/?#]*", "")
     fine = F.col("row_id").isNotNull() & F.col("text").isNotNull() & (F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
-    slim = pages.where(fine).select("tbl", F.col("row_id").cast("bigint").alias("row_id"), host.alias("host"), path.alias("path"), F.col("text").cast("string").alias("text"))
-    counts = slim.groupBy("host").agg(F.ceil(F.count("*") / BLOCK_PAGES).alias("blocks"))
-    blocks = slim.join(counts, "host").withColumn("block", F.pmod(F.xxhash64("path", "row_id"), F.col("blocks"))).drop("blocks")
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.drop_duplicates(["tbl", "row_id", "path", "text"]).sort_values(["path", "tbl", "row_id", "text"], kind="stable")
-        pages = [{"host": h, "url": p, "text": t} for h, p, t in zip(df["host"], df["path"], df["text"])]
-        kept = main_lines(pages)
-        rows = [(t, r, n) for t, r, ns in zip(df["tbl"], df["row_id"], kept) for n in ns]
-        return pd.DataFrame(rows, columns=["tbl", "row_id", "line_no"]).astype({"row_id": "int64", "line_no": "int64"})
-
-    return blocks.groupBy("host", "block").applyInPandas(run, "tbl string, row_id bigint, line_no bigint").distinct()
+    slim = pages.where(fine).select(host.alias("host"), path.alias("path"), "tbl", F.col("row_id").cast("bigint").alias("row_id"), F.col("text").cast("string").alias("text"))
+    each = settle(lines(slim, neighbours), "lines")
+    # what differencing taught of each line of each host
+    shared = (F.col("compared") > 0) & (F.col("hits") >= SHARED * F.col("compared")) & (F.col("hits") > (F.col("compared") > 1).cast("int"))
+    stats = each.groupBy("host", "key").agg(F.count_if("first").alias("have"), F.count_if(F.col("hits") > 0).alias("taught"), F.count_if(shared).alias("deleted"), F.first("words").alias("words"))
+    stats = settle(stats.where(f"taught > 0 OR have >= {HEADING_PAGES}"), "stats")
+    hosts = stats.where(F.col("taught") >= TAUGHT_PAGES).groupBy("key").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= TAUGHT_HOSTS).select("key", F.lit(True).alias("wide"))
+    firm = (F.col("deleted") >= TAUGHT_PAGES) & (F.col("deleted") >= FIRM * F.col("have"))
+    seen = stats.select("host", "key", "have", "deleted", (F.col("taught") >= TAUGHT_PAGES).alias("here"), firm.alias("firm"))
+    marked = each.join(_slim(seen), ["host", "key"], "left").join(_slim(settle(hosts, "hosts")), "key", "left")
+    known = F.coalesce(F.col("here") | F.col("firm"), F.lit(False)) | F.coalesce("wide", F.lit(False))
+    marked = settle(marked.select(*[c for c in each.columns if c != "compared"], known.alias("known"), F.coalesce("firm", F.lit(False)).alias("firm"), F.coalesce("have", F.lit(0)).alias("have"), F.coalesce("deleted", F.lit(0)).alias("deleted")), "marked")
+    words = _slim(settle(marked.where("known").select("host", F.explode("words").alias("word")).distinct(), "navigation"))
+    # the first two parts of a line as words of navigation; lines without parts get keys of their own, so that they don't meet in one task
+    part = lambda n: F.coalesce(F.try_element_at("parts", F.lit(n)), F.xxhash64("row_id", "page", "i", F.lit(n)))
+    told = marked.withColumns({"p1": part(1), "p2": part(2)})
+    for p in ("p1", "p2"):
+        told = told.join(words.select("host", F.col("word").alias(p), F.lit(True).alias(f"{p}_known")), ["host", p], "left")
+    size, one, two = F.size("parts"), F.coalesce("p1_known", F.lit(False)), F.coalesce("p2_known", F.lit(False))
+    crumb = (size >= 3) | (size == 2) & (one | two) | (size == 1) & one
+    return _kept(told.select("tbl", "row_id", "page", "line_no", "i", "n", "known", "firm", "have", "deleted", "sentence", "anchor", "item", "labelled", crumb.alias("crumb"), size.alias("size"))).distinct()
+
+
+def _kept(told: DataFrame) -> DataFrame:
+    """(tbl, row_id, line_no) of the lines that stay; each page is one window."""
+    page = Window.partitionBy("tbl", "row_id", "page")
+    place = lambda which, of: of(F.when(which, F.col("i"))).over(page)
+    own = F.col("anchor") & ~F.col("known")
+    framed = told.withColumn("inside", F.coalesce((place(own, F.min) < F.col("i")) & (F.col("i") < place(own, F.max)), F.lit(False)))
+    inside: Column = F.col("inside")
+    # amid main text a line that some pages share is a heading
+    firmly = F.col("firm") & inside & (F.col("sentence") | F.col("labelled") | (F.col("deleted") >= 0.6 * F.col("have")))
+    gone = F.col("crumb") & ~(inside & (F.col("size") == 1)) | ~F.col("item") & (F.col("known") & ~inside | firmly)
+    cut = framed.withColumn("gone", gone).withColumns({"last": place(F.col("anchor") & ~F.col("gone"), F.max), "top": F.coalesce(place(~F.col("gone"), F.min), F.lit(0))})
+    heading = (F.col("i") == F.col("last") + 1) & (F.col("have") >= HEADING_PAGES)
+    below = F.when(F.col("last").isNotNull(), (F.col("i") > F.col("last")) & ~heading).otherwise((F.col("n") > 4) & (F.col("i") > F.col("top")))
+    return cut.where(~F.col("gone") & ~below).select("tbl", "row_id", "line_no")

@@ -116,17 +116,29 @@ def test_main_text_edges(spark):
     rows = [("e", 1, "https://a.example/x", None), ("e", 2, "https://a.example/x", ""), ("e", 3, None, t), ("e", 4, "not a url", t), ("e", None, "https://a.example/x", t), ("s", 5, "https://a.example/x", t), ("s", 5, "https://a.example/x", t), ("e", 6, "https://a.example/y", " \n ")]
     df = spark.createDataFrame(rows, "tbl string, row_id bigint, url string, text string")
     got = sorted((r.tbl, r.row_id, r.line_no) for r in boilerplate.main_text(df).collect())
-    assert got == [("e", 3, 2), ("e", 4, 2), ("s", 5, 2)]
+    # pages with one text can't show each other's furniture, and there is no list of it
+    assert got == [("e", 3, 0), ("e", 3, 2), ("e", 4, 0), ("e", 4, 2), ("s", 5, 0), ("s", 5, 2)]
     assert boilerplate.main_text(df.limit(0)).count() == 0
 
 
 def test_long_page_and_hot_host(spark, monkeypatch):
-    monkeypatch.setattr(boilerplate, "BLOCK_PAGES", 8)
+    monkeypatch.setattr(boilerplate, "RANGE_PAGES", 8)
     rows = [("e", i, u, t) for i, u, t, _ in pages(30)] + [("e", 99, "https://site.example/long", "\n".join(["Home", "Products"] + ["The pump moves the water to the tank."] * 5000))]
     df = spark.createDataFrame(rows, "tbl string, row_id bigint, url string, text string")
     assert boilerplate.main_text(df).where("row_id = 99").count() == 5000
 
 
+def test_ranges_make_no_difference_and_neighbours_do(spark, monkeypatch):
+    rows = [("e", i, u, t) for i, u, t, _ in pages(60)] + [("e", 100 + i, u, t) for i, u, t, _ in pages(20, "https://other.example")]
+    df = spark.createDataFrame(rows, "tbl string, row_id bigint, url string, text string").repartition(3)
+    run = lambda *n: {(r.row_id, r.line_no) for r in boilerplate.main_text(df, *n).collect()}
+    whole = run()
+    monkeypatch.setattr(boilerplate, "RANGE_PAGES", 9)
+    monkeypatch.setattr(boilerplate, "BROADCAST_ROWS", 0)
+    assert run() == whole
+    assert len(run(0)) > 1.3 * len(whole)
+
+
 def brute_lcs(a, b):
     m = np.zeros((len(a) + 1, len(b) + 1), int)
     for i, x in enumerate(a):
@@ -139,7 +151,7 @@ def test_longest_common_subsequence():
     r = random.Random(3)
     for _ in range(200):
         a, b = ([x for x in boilerplate.numbered(r.choices("abcdefg", k=r.randint(0, 9)))] for _ in range(2))
-        at = boilerplate.common(a, b)
+        at = boilerplate.common(a, {x: i for i, x in enumerate(b)})
         assert len(at) == brute_lcs(a, b) and at == sorted(at)
         where = [b.index(a[i]) for i in at]
         assert where == sorted(where)

@@ -30,7 +30,8 @@ RANGE_PAGES = 4_000  # pages of a range
 NEIGHBOURS = 5  # on each side
 SHARED = 0.5  # share of the compared pages that have a line which is deleted amid main text
 FIRM = 0.15  # share of the pages with a line on which it was so
-TAUGHT_PAGES = 2  # pages of a host on which neighbours shared a line that is known on all its pages
+TAUGHT_PAGES = 2  # pages of a host on which neighbours shared a line that is known on all its pages, at least,
+TAUGHT = 0.5  # and their share of the pages that have it, so that what comes again by chance isn't known in a large host
 TAUGHT_HOSTS = 2  # hosts that know a line which is known on all hosts
 HEADING_PAGES = 3  # a heading with nothing below it comes on so many pages of its host; a title doesn't
 BROADCAST_ROWS = 500_000  # a side of at most so many rows is broadcast; beyond it the join shuffles
@@ -212,9 +213,10 @@ def main_text(pages: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
     shared = (F.col("compared") > 0) & (F.col("hits") >= SHARED * F.col("compared")) & (F.col("hits") > (F.col("compared") > 1).cast("int"))
     stats = each.groupBy("host", "key").agg(F.count_if("first").alias("have"), F.count_if(F.col("hits") > 0).alias("taught"), F.count_if(shared).alias("deleted"), F.first("words").alias("words"))
     stats = settle(stats.where(f"taught > 0 OR have >= {HEADING_PAGES}"), "stats")
-    hosts = stats.where(F.col("taught") >= TAUGHT_PAGES).groupBy("key").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= TAUGHT_HOSTS).select("key", F.lit(True).alias("wide"))
+    here = (F.col("taught") >= TAUGHT_PAGES) & (F.col("taught") >= TAUGHT * F.col("have"))
+    hosts = stats.where(here).groupBy("key").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= TAUGHT_HOSTS).select("key", F.lit(True).alias("wide"))
     firm = (F.col("deleted") >= TAUGHT_PAGES) & (F.col("deleted") >= FIRM * F.col("have"))
-    seen = stats.select("host", "key", "have", "deleted", (F.col("taught") >= TAUGHT_PAGES).alias("here"), firm.alias("firm"))
+    seen = stats.select("host", "key", "have", "deleted", here.alias("here"), firm.alias("firm"))
     marked = each.join(_slim(seen), ["host", "key"], "left").join(_slim(settle(hosts, "hosts")), "key", "left")
     known = F.coalesce(F.col("here") | F.col("firm"), F.lit(False)) | F.coalesce("wide", F.lit(False))
     marked = settle(marked.select(*[c for c in each.columns if c != "compared"], known.alias("known"), F.coalesce("firm", F.lit(False)).alias("firm"), F.coalesce("have", F.lit(0)).alias("have"), F.coalesce("deleted", F.lit(0)).alias("deleted")), "marked")

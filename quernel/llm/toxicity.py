@@ -4,7 +4,9 @@ Each document becomes a few dense features: how dense the words of the lexicons
 its worst sentence, how near they stand to words for "you" and for groups, capitals, punctuation,
 how many words are written so as to hide them, and the harmless contexts of machines, medicine and
 rules. Gradient-boosted trees are trained on the rated documents, and an isotonic regression on the
-rated documents held back turns their output into probabilities.
+rated documents held back turns their output into probabilities. Short examples made of the lexicons
+take part in both, all together with the weight of SEED_WEIGHT ratings, and a bounded sample of the
+documents without a rating as harmless ones, so that few ratings or none do too.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ from quernel.llm.lookalikes import skeleton
 from quernel.session import settle
 
 LABEL_ROWS = 20_000  # rated documents used for training, at most
-FEWEST = 20  # ratings of either kind below which the trees have nothing to learn from
+SEED_WEIGHT = 20.0  # ratings that the examples from the lexicons count for, all together
+UNRATED = 2_000  # documents without a rating, at most, that count as harmless, since few are not
+UNRATED_WEIGHT = 5.0  # ratings that these count for, all together, each a twentieth at most
 THRESHOLD = 0.5
 ABUSE = ("INSULT", "THREAT", "HATE", "SEXUAL")
 CONTEXT = ("SECOND_PERSON", "GROUP", "TECHNICAL", "MEDICAL", "RULES")
@@ -166,44 +170,61 @@ def features(text: str | None) -> list[float]:
     return [out[f] for f in FEATURES]
 
 
-def evidence(x: list[float]) -> float:
-    """A score between 0 and 1 from the worst sentence alone, for collections without enough ratings."""
-    v = dict(zip(FEATURES, x))
-    z = 1.2 * v["worst hits"] + 1.5 * v["worst phrases"] + v["worst hidden"] + v["worst second person"] - 2 * (v["worst technical"] + v["worst medical"] + v["worst rules"])
-    return float(1 / (1 + np.exp(2.5 - z))) if v["worst hits"] else 0.0
+@lru_cache(1)
+def seeds() -> list[tuple[list[float], float]]:
+    """(features, label) of examples made of the lexicons: two words of abuse, said to somebody or not, or a phrase of it; the words alone, or in a harmless context."""
+    entries = lambda name: [[w for x in line.split(",") if (w := x.strip().rstrip("*"))] for line in getattr(lexicon, name).strip().split("\n")]
+    you, harmless, out = entries("SECOND_PERSON")[0], [w for c in CONTEXT[2:] for line in entries(c) for w in line], []
+    for name in ABUSE:
+        for line in entries(name):
+            for i, (w, other) in enumerate(zip(line, line[1:] + line[:1])):
+                out.append((f"{you[i % len(you)]} {w} {other}" if i % 2 else f"{w} {other}", 1.0))
+                out.append((w, float(" " in w)))
+                out.append((f"{harmless[i % len(harmless)]} {w} {harmless[(7 * i + 3) % len(harmless)]}.", 0.0))
+    return [(features(x.capitalize()), label) for x, label in [*out, ("", 0.0)]]
+
+
+def placed(x: list[float], document: list[float]) -> list[float]:
+    """The features of an example as if it stood in a document of the length and marks of another."""
+    own, whole = dict(zip(FEATURES, x)), dict(zip(FEATURES, document))
+    thinner = max(1.0, np.expm1(own["log length"])) / max(1.0, np.expm1(own["log length"]) + np.expm1(whole["log length"]))
+    thin = {f: v * thinner for f, v in own.items() if f.startswith("density") or f == "hidden words"}
+    return [float(v) for v in (own | thin | {f: whole[f] for f in ("marks", "log length")}).values()]
 
 
 def measured(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, x, prior) for each row of documents(doc_id, source, text)."""
+    """(doc_id, source, x) for each row of documents(doc_id, source, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             xs = [features(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(xs, pa.list_(pa.float64())), pa.array([evidence(x) for x in xs], pa.float64())], ["doc_id", "source", "x", "prior"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(xs, pa.list_(pa.float64()))], ["doc_id", "source", "x"])
 
     slim = documents.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), F.col("text").cast("string"))
-    return slim.mapInArrow(run, "doc_id bigint, source string, x array<double>, prior double")
+    return slim.mapInArrow(run, "doc_id bigint, source string, x array<double>")
 
 
 def scores(documents: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS, trees: int = 20, depth: int = 2, seed: int = 11) -> DataFrame:
     """(doc_id, source, score) for each row of documents; labels(doc_id, toxic) are ratings of some of them.
 
     A document with several ratings has their mean; even ones are left out of training, as are null
-    ratings. A null, empty or blank text scores what a text without any such words does. Where fewer
-    than 20 documents are rated either way the score is that of ``evidence``.
+    ratings. A null, empty or blank text scores what a text without any such words does. With few
+    ratings the examples of ``seeds`` decide, with many the ratings; the method is the same.
     """
     whole = settle(measured(documents), "features")
     rated = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.avg("toxic").alias("mean")).where("mean != 0.5")
     few = rated.orderBy(F.xxhash64("doc_id")).limit(label_rows).join(whole.select("doc_id", "x").dropDuplicates(["doc_id"]), "doc_id")
-    few = few.select("doc_id", (F.col("mean") > 0.5).cast("double").alias("label"), array_to_vector("x").alias("features")).coalesce(2).cache()
-    kinds = {r["label"]: r["n"] for r in few.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if min(kinds.get(0.0, 0), kinds.get(1.0, 0)) < FEWEST:
-        few.unpersist()
-        return whole.select("doc_id", "source", F.col("prior").alias("score"))
+    few = few.select("doc_id", (F.col("mean") > 0.5).cast("double").alias("label"), "x", F.lit(1.0).alias("weight"))
+    rest = whole.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).join(rated.select("doc_id"), "doc_id", "left_anti").orderBy(F.xxhash64("doc_id")).limit(UNRATED).select("doc_id", "x")
+    unrated = [(r["doc_id"], r["x"]) for r in rest.collect()]  # bounded by UNRATED
+    made = [(-1 - i, label, placed(x, unrated[i % len(unrated)][1]) if unrated else x, SEED_WEIGHT / len(seeds())) for i, (x, label) in enumerate(seeds())]
+    made += [(i, 0.0, x, min(UNRATED_WEIGHT / len(unrated), 0.05)) for i, x in unrated]
+    few = few.unionByName(documents.sparkSession.createDataFrame(made, "doc_id bigint, label double, x array<double>, weight double"))
+    few = few.withColumn("features", array_to_vector("x")).drop("x").coalesce(2).cache()
     held = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(3)) == 0
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, minInstancesPerNode=5, seed=seed).fit(few.where(~held))
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, minInstancesPerNode=5, weightCol="weight", seed=seed).fit(few.where(~held))
     share = vector_to_array("probability")[1].alias("share")
-    isotonic = IsotonicRegression(featuresCol="share").fit(model.transform(few.where(held)).select("label", share))
+    isotonic = IsotonicRegression(featuresCol="share", weightCol="weight").fit(model.transform(few.where(held)).select("label", share, "weight"))
     few.unpersist()
     raw = model.transform(whole.select("doc_id", "source", array_to_vector("x").alias("features"))).select("doc_id", "source", share)
     return isotonic.transform(raw).select("doc_id", "source", F.col("prediction").alias("score"))

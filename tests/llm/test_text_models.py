@@ -161,16 +161,22 @@ TOXIC = ["You are a pathetic idiot, go to hell.", "You 1d10t, I will kill you.",
 HARMLESS = ["Kill the child process before the server restarts.", "Vermin in the store are handled by the cleaning team.", "The talk on breast cancer screening was moved.", "Insults are forbidden by the rules of conduct.", "Strip the naked wire and screw the male connector into the socket."]
 
 
-def corpus(n=400, seed=4):
+#: Sentences of the held-out documents: none of them is among those above or an entry of the lexicons.
+HELD_TOXIC = ["What a stupid moron, that scumbag ruins everything.", "Hau ab, du elender Schwachkopf und Versager.", "Shut your mouth, you asshole, or I'll find you.", "Ces gens sont de la vermine, des sous-hommes.", "Cállate, pedazo de imbécil, eres una basura humana."]
+HELD_HARMLESS = ["The parasite test of the patient came back from the clinic.", "The clamp holds the cock valve of the bolt drawer.", "A comment with a personal insult is removed by the moderators."]
+
+
+def corpus(n=400, seed=4, held=250):
+    """Documents from ``held`` on have other sentences than those before."""
     r = random.Random(seed)
     rows = []
     for i in range(n):
         parts = [x.format(r.randint(1, 999)) for x in r.choices(ENGLISH + GERMAN, k=5)]
         toxic = i % 4 == 0
         if toxic:
-            parts.insert(2, r.choice(TOXIC))
+            parts.insert(2, r.choice(TOXIC if i < held else HELD_TOXIC))
         elif i % 4 == 1:
-            parts.insert(2, r.choice(HARMLESS))
+            parts.insert(2, r.choice(HARMLESS if i < held else HELD_HARMLESS))
         rows.append((i, f"s{i % 3}" if i % 5 else None, " ".join(parts), toxic))
     return rows
 
@@ -188,6 +194,16 @@ def test_scores_on_held_out_documents(spark):
     assert sum(n for n, _ in rates.values()) == 400 and None in rates and sum(f for _, f in rates.values()) == len(got)
 
 
+def test_few_ratings_use_the_same_method(spark):
+    """Six ratings: the trees are fitted as with many, and still tell most held-out documents."""
+    rows = corpus()
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id bigint, source string, text string")
+    labels = spark.createDataFrame([(i, int(t)) for i, _, _, t in rows[:6]], "doc_id bigint, toxic int")
+    got = {x.doc_id for x in toxicity.flagged(toxicity.scores(docs, labels)).collect()}
+    held = [(i, t) for i, _, _, t in rows if i >= 250]
+    assert sum((i in got) == t for i, t in held) >= 0.85 * len(held)
+
+
 def test_scores_edges(spark):
     rows = [(1, "a", TOXIC[0]), (2, "a", None), (3, "a", ""), (4, None, HARMLESS[0]), (None, "b", TOXIC[0]), (1, "a", TOXIC[0]), (5, "b", "word " * 50_000 + TOXIC[0])]
     docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
@@ -200,4 +216,5 @@ def test_scores_edges(spark):
 
 @pytest.mark.parametrize("word", ["basta*d", "1d10t", "id-iot", "idiooooot", "p0rn", "i d i o t"])
 def test_hidden_words(word):
-    assert toxicity.evidence(toxicity.features(f"You are a {word}, get lost.")) > toxicity.evidence(toxicity.features("You are a customer."))
+    hits = toxicity.FEATURES.index("worst hits")
+    assert toxicity.features(f"You are a {word}, get lost.")[hits] > toxicity.features("You are a customer.")[hits] == 0

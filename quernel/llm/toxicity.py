@@ -40,6 +40,8 @@ FEATURES = (
     "worst medical", "worst rules", "nearness of you", "worst capitals", "worst marks", "marks", "hidden words", "log length",
 )
 
+LEARNED = len(FEATURES) - 1  # the length only serves to place examples; how long a text is says nothing about it
+
 _BOUND = re.compile(r"[.!?。！？\n]+")
 _HIDES = re.compile(r"[^\W\d_][\W\d_]+[^\W\d_]|[@$!*][^\W\d_]|[^\W\d_][@$*0-9]|([^\W\d_])\1\1")
 _LATIN = re.compile(r"[!-~À-ɏ]+")
@@ -185,8 +187,9 @@ def seeds() -> list[tuple[list[float], float]]:
 
 
 def placed(x: list[float], document: list[float]) -> list[float]:
-    """The features of an example as if it stood in a document of the length and marks of another."""
+    """The features of an example as if it stood in a document of the length and marks of another, of 300 characters at least."""
     own, whole = dict(zip(FEATURES, x)), dict(zip(FEATURES, document))
+    whole["log length"] = max(whole["log length"], float(np.log1p(300)))
     thinner = max(1.0, np.expm1(own["log length"])) / max(1.0, np.expm1(own["log length"]) + np.expm1(whole["log length"]))
     thin = {f: v * thinner for f, v in own.items() if f.startswith("density") or f == "hidden words"}
     return [float(v) for v in (own | thin | {f: whole[f] for f in ("marks", "log length")}).values()]
@@ -217,16 +220,16 @@ def scores(documents: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS
     few = few.select("doc_id", (F.col("mean") > 0.5).cast("double").alias("label"), "x", F.lit(1.0).alias("weight"))
     rest = whole.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).join(rated.select("doc_id"), "doc_id", "left_anti").orderBy(F.xxhash64("doc_id")).limit(UNRATED).select("doc_id", "x")
     unrated = [(r["doc_id"], r["x"]) for r in rest.collect()]  # bounded by UNRATED
-    made = [(-1 - i, label, placed(x, unrated[i % len(unrated)][1]) if unrated else x, SEED_WEIGHT / len(seeds())) for i, (x, label) in enumerate(seeds())]
+    made = [(-1 - i, label, placed(x, unrated[i % len(unrated)][1] if unrated else [0.0] * len(FEATURES)), SEED_WEIGHT / len(seeds())) for i, (x, label) in enumerate(seeds())]
     made += [(i, 0.0, x, min(UNRATED_WEIGHT / len(unrated), 0.05)) for i, x in unrated]
     few = few.unionByName(documents.sparkSession.createDataFrame(made, "doc_id bigint, label double, x array<double>, weight double"))
-    few = few.withColumn("features", array_to_vector("x")).drop("x").coalesce(2).cache()
+    few = few.withColumn("features", array_to_vector(F.slice("x", 1, LEARNED))).drop("x").coalesce(2).cache()
     held = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(3)) == 0
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, minInstancesPerNode=5, weightCol="weight", seed=seed).fit(few.where(~held))
     share = vector_to_array("probability")[1].alias("share")
     isotonic = IsotonicRegression(featuresCol="share", weightCol="weight").fit(model.transform(few.where(held)).select("label", share, "weight"))
     few.unpersist()
-    raw = model.transform(whole.select("doc_id", "source", array_to_vector("x").alias("features"))).select("doc_id", "source", share)
+    raw = model.transform(whole.select("doc_id", "source", array_to_vector(F.slice("x", 1, LEARNED)).alias("features"))).select("doc_id", "source", share)
     return isotonic.transform(raw).select("doc_id", "source", F.col("prediction").alias("score"))
 
 

@@ -9,13 +9,14 @@ CJK = r"[\x{4E00}-\x{9FFF}]"
 
 #: What an instruction hidden in a text looks like, and what replaces it.
 INJECTION = (
-    r"(?i)ignore\s+(all\s+|any\s+)?(previous|prior|above|earlier)\s+(instructions|prompts|rules)",
-    r"(?i)disregard\s+(all\s+|any\s+)?(previous|prior|above|earlier)\s+(instructions|prompts|rules)",
-    r"(?i)you\s+are\s+now\s+(a|an|the)\s+",
-    r"(?i)(reveal|print|show)\s+(your|the)\s+(system\s+)?prompt",
-    r"(?i)system\s+prompt",
+    r"(?i)ignore\s+(all\s+)?(previous|above|prior)\s+instructions",
+    r"(?i)忽略(以上|上述|之前)(的)?(所有)?指令",
+    r"(?i)disregard\s+the\s+system\s+prompt",
+    r"(?i)new\s+instructions\s*:",
+    r"(?i)\bsystem\s+prompt\b",
     r"(?im)^\s*(system|assistant)\s*:",
-    r"忽略(以上|之前|前面)(的)?(所有)?(指令|提示|规则)",
+    r"<\|.*?\|>",
+    r"(?i)</?s>",
 )
 FILTERED = "[filtered]"
 
@@ -82,14 +83,27 @@ def sentences(text: Column) -> Column:
 
 
 def host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)", 1))
+    """The host of a URL in lower case, without user and port; a literal IPv6 address without its brackets."""
+    place = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)
+    bare = F.lower(F.regexp_replace(place, r"^.*@", ""))
+    return F.when(bare.startswith("["), F.regexp_extract(bare, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_extract(bare, r"^([^:]*)", 1))
+
+
+#: Hosts that are never asked.
+BLOCKED_HOSTS = ("localhost", "metadata.google.internal", "metadata", "instance", "")
+#: Literal addresses that are private, of loopback, link-local, reserved, for documents and tests, or multicast.
+_PART = r"(0|[1-9]\d?|1\d\d|2[0-4]\d|25[0-5])"
+IPV4 = rf"^{_PART}(\.{_PART}){{3}}$"
+PRIVATE_IPV4 = r"^(0\.|10\.|127\.|169\.254\.|172\.(1[6-9]|2\d|3[01])\.|192\.168\.|192\.0\.0\.|192\.0\.2\.|198\.1[89]\.|198\.51\.100\.|203\.0\.113\.|2[2-5]\d\.)"
+GLOBAL_IPV6 = r"^[23][0-9a-f]{3}:"
+PRIVATE_IPV6 = r"^(2001:0?db8:|2001:(:|0{0,2}[0-9a-f]{1,2}:|0?1[0-9a-f]{2}:)|2002:|3fff:0?[0-9a-f]{1,3}:)"
 
 
 def safe_url(url: Column) -> Column:
-    """http(s) and neither a local name nor a literal private, loopback or link-local address. Names are never resolved."""
+    """http(s) in any case, and neither a blocked host nor a literal address that isn't public. Names are never resolved."""
     h = host(url)
-    private = r"^(localhost|.*\.local|.*\.internal|0\..*|127\..*|10\..*|192\.168\..*|169\.254\..*|172\.(1[6-9]|2[0-9]|3[01])\..*|22[4-9]\..*|2[3-5][0-9]\..*|\[.*)$"
-    return F.coalesce(url.rlike("^https?://"), F.lit(False)) & (h != "") & ~h.rlike(private)
+    address = F.when(h.rlike(IPV4), ~h.rlike(PRIVATE_IPV4)).when(F.contains(h, F.lit(":")), h.rlike(GLOBAL_IPV6) & ~h.rlike(PRIVATE_IPV6)).otherwise(F.lit(True))
+    return F.coalesce(url.rlike("(?i)^https?://"), F.lit(False)) & ~h.isin(*BLOCKED_HOSTS) & address
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,10 +41,32 @@ def judged(answers: DataFrame, contexts: DataFrame) -> DataFrame:
     return terms.join(c, "answer_id", "left").groupBy("answer_id", "sentence_no").agg((F.coalesce(F.max(share), F.lit(0.0)) >= 0.5).alias("supported"))
 
 
-def faithfulness(verdicts: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
-    """(answer_id, claims, supported, faithfulness, grounded) from verdicts(answer_id, supported)."""
-    out = verdicts.groupBy("answer_id").agg(F.count("*").alias("claims"), F.count_if("supported").alias("supported"))
-    return out.withColumn("faithfulness", F.round(F.col("supported") / F.col("claims"), 4)).withColumn("grounded", F.col("faithfulness") >= cfg.grounded)
+#: Fixed value: how a refusal begins.
+REFUSAL = "根据现有资料无法回答"
+
+
+def refused(answer: Column) -> Column:
+    """An empty answer, or one that begins with the refusal."""
+    return F.coalesce((answer == "") | answer.startswith(REFUSAL) | F.trim(answer).startswith(REFUSAL) & (F.trim(answer) == REFUSAL), F.lit(True))
+
+
+def faithfulness(answers: DataFrame, verdicts: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
+    """(answer_id, claims, supported, faithfulness, hallucination, grounded, refusal, low_confidence), one row for each of answers(answer_id, text).
+
+    verdicts(answer_id, supported) has a row for each claim. A refusal has nulls and isn't grounded; an
+    answer without claims has a faithfulness of 0.
+    """
+    counts = verdicts.groupBy("answer_id").agg(F.count("*").alias("claims"), F.count_if("supported").alias("supported"))
+    no = refused(F.col("text"))
+    rows = answers.select("answer_id", no.alias("refusal")).join(counts, "answer_id", "left")
+    count = lambda c: F.when(F.col("refusal"), 0).otherwise(F.coalesce(c, F.lit(0)))
+    rows = rows.select("answer_id", "refusal", count("claims").alias("claims"), count("supported").alias("supported"))
+    share = F.when(F.col("claims") > 0, F.col("supported") / F.col("claims")).otherwise(0.0)
+    grounded = ~F.col("refusal") & (share >= cfg.grounded)
+    return rows.select(
+        "answer_id", "claims", "supported", F.when(~F.col("refusal"), F.round(share, 4)).alias("faithfulness"), F.when(~F.col("refusal"), F.round(1 - share, 4)).alias("hallucination"),
+        grounded.alias("grounded"), "refusal", (~F.col("refusal") & ~grounded).alias("low_confidence"),
+    )
 
 
 def web_evidence(results: DataFrame, cfg: Config = DEFAULTS) -> DataFrame:
@@ -82,20 +106,23 @@ def ir_metrics(ranks: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     )
 
 
-def bootstrap(values: DataFrame, resamples: int = 200, seed: int = 42, confidence: float = 0.95) -> DataFrame:
-    """One row (n, mean, low, high) of values(i, v), i numbering them from 0: percentile bounds of the mean by resampling.
+def bootstrap(values: DataFrame, resamples: int = 1000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
+    """One row (n, mean, low, high) of values(i, v), i being unique: percentile bounds of the mean by resampling.
 
-    The draw of position i in resample b is a hash of (seed, b, i) modulo n, so it is the same everywhere.
-    Draws are grouped by (resample, drawn row) before they meet the values.
+    Each row comes into each resample as often as a Poisson variable of mean 1, taken from a hash of
+    (seed, resample, i), so that the draws are the same everywhere, no row is numbered, and sums are
+    formed before the shuffle. Resamples without any row don't count.
     """
-    n = values.agg(F.count("*").alias("n"))
-    draws = values.select("i").crossJoin(F.broadcast(n)).select("i", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))  # resamples is a parameter
-    at = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("b").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("bigint") % F.col("n")
-    times = draws.groupBy("b", at.alias("i")).agg(F.count("*").alias("times"))
-    means = times.join(values, "i").groupBy("b").agg((F.sum(F.col("v") * F.col("times")) / F.sum("times")).alias("m"))
+    draws = values.select("i", "v", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))  # resamples is a parameter
+    u = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("b").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("bigint") / float(1 << 32)
+    times, below, chance = F.lit(0), 0.0, math.exp(-1)
+    for k in range(12):
+        below, chance = below + chance, chance / (k + 1)
+        times = times + (u >= below).cast("int")
+    means = draws.select("b", "v", times.alias("times")).groupBy("b").agg((F.sum(F.col("v") * F.col("times")) / F.nullif(F.sum("times"), F.lit(0))).alias("m")).where("m IS NOT NULL")
     place = F.row_number().over(Window.orderBy("m", "b")) - 1  # over the resamples, whose number is a parameter
     low, high = int((1 - confidence) / 2 * resamples), min(int((1 + confidence) / 2 * resamples) - 1, resamples - 1)
-    bounds = means.withColumn("place", place).agg(F.max(F.when(F.col("place") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("place") == high, F.col("m"))).alias("high"))
+    bounds = means.withColumn("place", place).agg(F.max(F.when(F.col("place") <= low, F.col("m"))).alias("low"), F.max(F.when(F.col("place") <= high, F.col("m"))).alias("high"))
     return values.agg(F.count("*").alias("n"), F.avg("v").alias("mean")).crossJoin(F.broadcast(bounds)).select("n", *(F.round(c, 6).alias(c) for c in ("mean", "low", "high")))
 
 

@@ -13,11 +13,11 @@ def repeated(steps: DataFrame) -> DataFrame:
 
 
 def compact(steps: DataFrame, keep: int, most_chars: int) -> DataFrame:
-    """(run_id, kept, summarized, dropped) of steps(run_id, step, chars): the newest ``keep`` steps stay, older ones are summarized
-    as long as the characters, from the newest on, are within the budget, the rest is dropped."""
+    """(run_id, kept, summarized, dropped) of steps(run_id, step, chars): the newest ``keep`` steps stay and older ones are summarized,
+    as long as the characters, from the newest on, are within the budget; beyond it the oldest are dropped, recent ones too."""
     newest = Window.partitionBy("run_id").orderBy(F.desc("step"))
     s = steps.withColumn("n", F.row_number().over(newest)).withColumn("total", F.sum("chars").over(newest.rowsBetween(Window.unboundedPreceding, 0)))
-    state = F.when(F.col("n") <= keep, "kept").when(F.col("total") <= most_chars, "summarized").otherwise("dropped")
+    state = F.when(F.col("total") > most_chars, "dropped").when(F.col("n") <= keep, "kept").otherwise("summarized")
     return s.withColumn("state", state).groupBy("run_id").agg(*(F.count_if(F.col("state") == x).alias(x) for x in ("kept", "summarized", "dropped")))
 
 

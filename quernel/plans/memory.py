@@ -41,11 +41,11 @@ def memory_add(spark, sf_dir):
 
 
 def memory_search(spark, sf_dir):
-    """Every fiftieth knowledge memory as a query over the active, verified knowledge memories."""
-    m = memory.active(memories(spark, sf_dir), F.lit(NOW).cast("timestamp_ntz"), "verified").where(text.usable(F.col("embedding"), 64) & (F.col("scope") == "knowledge"))
-    rows = m.select(F.col("memory_id").alias("chunk_id"), "embedding")
-    q = memories(spark, sf_dir).where(text.usable(F.col("embedding"), 64) & (F.col("scope") == "knowledge") & (F.col("memory_id") % 50 == 0)).select(F.col("memory_id").alias("query_id"), "embedding")
-    return retrieval.dense(q, rows, 5).withColumnRenamed("chunk_id", "memory_id")
+    """Every fiftieth memory as a query over the active, verified memories of its scope and owner."""
+    m = memory.active(memories(spark, sf_dir), F.lit(NOW).cast("timestamp_ntz"), "verified").where(text.usable(F.col("embedding"), 64))
+    q = memories(spark, sf_dir).where(text.usable(F.col("embedding"), 64) & (F.col("memory_id") % 50 == 0))
+    found = memory.search(q.withColumnRenamed("memory_id", "query_id"), m, 5)
+    return found.withColumnRenamed("chunk_id", "memory_id")
 
 
 def memory_similar(spark, sf_dir):
@@ -91,9 +91,9 @@ SQL = {
     "memory_counts": f"SELECT scope, lower(trim(trust, ' ')) AS trust, count(*) AS n, count(*) FILTER (is_deleted) AS deleted, count(*) FILTER ({_VALID}) AS valid, count(DISTINCT owner_user_id) AS owners FROM memories GROUP BY 1, 2",
     "memory_hash_state": "SELECT CASE WHEN h = '' THEN 'missing' WHEN h = substr(sha256(content), 1, 32) THEN 'right' ELSE 'stale' END AS state, count(*) AS n FROM (SELECT content, lower(trim(coalesce(content_hash, ''), ' ')) AS h FROM memories WHERE content IS NOT NULL) GROUP BY 1",
     "memory_add": f"WITH k AS (SELECT {_DOMAIN} AS d, sha256(content) AS h FROM memories WHERE batch_no = 0 AND NOT coalesce(is_deleted, FALSE)), f AS (SELECT memory_id AS fact_id, {_DOMAIN} AS d, sha256(content) AS h FROM memories WHERE batch_no > 0 AND content IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {_DOMAIN}, sha256(content) ORDER BY memory_id) = 1) SELECT fact_id, d AS domain FROM f WHERE (d, h) NOT IN (SELECT (d, h) FROM k WHERE h IS NOT NULL)",
-    "memory_search": f"WITH q AS (SELECT memory_id, embedding::DOUBLE[] AS v FROM memories WHERE {_USABLE} AND scope = 'knowledge' AND memory_id % 50 = 0), r AS (SELECT memory_id, embedding::DOUBLE[] AS v FROM memories WHERE {_USABLE} AND scope = 'knowledge' AND NOT coalesce(is_deleted, FALSE) AND {_VALID} AND {_RANK} >= 2) SELECT * FROM (SELECT a.memory_id AS query_id, b.memory_id, {_COS} AS score, row_number() OVER (PARTITION BY a.memory_id ORDER BY {_COS} DESC, b.memory_id) AS rank FROM q a JOIN r b ON a.memory_id <> b.memory_id) WHERE rank <= 5",
+    "memory_search": f"WITH q AS (SELECT memory_id, {_DOMAIN} AS d, embedding::DOUBLE[] AS v FROM memories WHERE {_USABLE} AND memory_id % 50 = 0), r AS (SELECT memory_id, {_DOMAIN} AS d, embedding::DOUBLE[] AS v FROM memories WHERE {_USABLE} AND NOT coalesce(is_deleted, FALSE) AND {_VALID} AND {_RANK} >= 2) SELECT * FROM (SELECT a.memory_id AS query_id, b.memory_id, {_COS} AS score, row_number() OVER (PARTITION BY a.memory_id ORDER BY {_COS} DESC, b.memory_id) AS rank FROM q a JOIN r b ON a.d = b.d AND a.memory_id <> b.memory_id) WHERE rank <= 5",
     "memory_promoted": f"SELECT lower(trim(trust, ' ')) AS was, CASE WHEN {_RANK} = 1 AND support >= 2 THEN 'verified' ELSE lower(trim(trust, ' ')) END AS trust, count(*) AS n FROM memories GROUP BY 1, 2",
-    "memory_feedback": "WITH e AS (SELECT DISTINCT s.source AS key, ok, created_at, answer_id FROM (SELECT answer_id, created_at, coalesce(grounded, FALSE) AS ok, unnest(sources) AS s FROM (SELECT * FROM answers QUALIFY row_number() OVER (PARTITION BY answer_id) = 1)) WHERE s.source IS NOT NULL), w AS (SELECT *, count(*) FILTER (NOT ok) OVER (PARTITION BY key ORDER BY created_at, answer_id ROWS UNBOUNDED PRECEDING) AS fails, count(*) FILTER (ok) OVER (PARTITION BY key ORDER BY created_at, answer_id ROWS UNBOUNDED PRECEDING) AS wins FROM e) SELECT key, least(3, 1 + max(wins)) AS level, max(fails) AS fails, min(answer_id) FILTER (fails >= 2) AS invalidated FROM w GROUP BY 1",
+    "memory_feedback": "WITH e AS (SELECT DISTINCT s.source AS key, ok, created_at, answer_id FROM (SELECT answer_id, created_at, coalesce(grounded, FALSE) AS ok, unnest(sources) AS s FROM (SELECT * FROM answers QUALIFY row_number() OVER (PARTITION BY answer_id) = 1)) WHERE s.source IS NOT NULL), w0 AS (SELECT *, count(*) FILTER (NOT ok) OVER (PARTITION BY key ORDER BY created_at, answer_id ROWS UNBOUNDED PRECEDING) AS fails FROM e), w AS (SELECT *, count(*) FILTER (ok AND fails < 2) OVER (PARTITION BY key ORDER BY created_at, answer_id ROWS UNBOUNDED PRECEDING) AS wins FROM w0) SELECT key, least(3, 1 + max(wins)) AS level, max(fails) AS fails, min(answer_id) FILTER (fails >= 2) AS invalidated FROM w GROUP BY 1",
     "playbook": "SELECT owner_user_id, array_to_string(coalesce(list_sort(list(memory_id) FILTER (level = 'fact')), []), ',') AS facts, array_to_string(coalesce(list_sort(list(memory_id) FILTER (level = 'playbook')), []), ',') AS playbooks FROM memories WHERE NOT coalesce(is_deleted, FALSE) AND owner_user_id IS NOT NULL GROUP BY 1",
     "memory_latest": "SELECT * FROM (SELECT owner_user_id, memory_id, row_number() OVER (PARTITION BY owner_user_id ORDER BY updated_at DESC, memory_id DESC) AS n FROM memories WHERE owner_user_id IS NOT NULL) WHERE n <= 3",
 }

@@ -45,7 +45,7 @@ def lexical_stats(spark, sf_dir):
 
 
 def term_df(spark, sf_dir):
-    return retrieval.postings(live(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return retrieval.postings(live(spark, sf_dir)).where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 def vector_topk(spark, sf_dir):
@@ -124,7 +124,9 @@ def soft_delete(spark, sf_dir):
 
 
 def fingerprint(spark, sf_dir):
-    return ingest.fingerprint(table(spark, sf_dir, "documents").where(~F.coalesce("is_deleted", F.lit(False))), "doc_id")
+    """Of the active children, so that a changed chunk is noticed."""
+    rows = live(spark, sf_dir).select("chunk_id").join(table(spark, sf_dir, "chunks").select("chunk_id", "created_at"), "chunk_id")
+    return ingest.fingerprint(rows, "chunk_id", "created_at")
 
 
 def documents_paging(spark, sf_dir):
@@ -150,8 +152,8 @@ def chunk_units(spark, sf_dir):
 
 
 def overlap_blocks(spark, sf_dir):
-    """Lines of documents without Han characters, each with the tail of the one before."""
-    d = table(spark, sf_dir, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike(text.CJK)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "block"))
+    """Lines of documents, each with the tail of the one before."""
+    d = table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "block"))
     return ingest.with_overlap(d, 5).select("doc_id", "pos", text.sha(F.col("block")).alias("hash"))
 
 
@@ -162,22 +164,35 @@ def chunk_documents(spark, sf_dir):
 
 
 def label_relevance(spark, sf_dir):
-    """Chunks of the golden source that contain a golden snippet, white space aside. The source is the key, so that this is no cross join."""
+    """Chunks of a source that ends in the golden one and contains a golden snippet, white space aside.
+
+    The distinct sources meet by their ends, chunks and snippets by source and the first eight characters of the snippet.
+    """
     g = golden_queries(spark, sf_dir).select((-F.col("query_id")).alias("question_id"), F.col("gold_source").alias("source"), F.explode("gold_snippets").alias("snippet"))
-    g = g.select("question_id", "source", text.squeeze(F.col("snippet")).alias("snippet")).where("length(snippet) > 0")
+    g = g.select("question_id", F.col("source").alias("gold"), text.squeeze(F.col("snippet")).alias("snippet")).where("length(snippet) > 0 AND gold != ''")
     c = live(spark, sf_dir).select("chunk_id", "source", text.squeeze(F.col("content")).alias("content"))
-    return g.join(c, "source").where(F.contains("content", "snippet")).select("question_id", "chunk_id").distinct()
+    ends = c.select("source").distinct().select("source", F.explode(F.transform(F.sequence(F.lit(1), F.length("source")), lambda i: F.substring("source", i, F.lit(1 << 20)))).alias("gold"))
+    named = g.join(ends, "gold").select("question_id", "source", "snippet", F.left("snippet", F.lit(8)).alias("start"))
+    pieces = c.select("chunk_id", "source", "content", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("content"), F.lit(1))), lambda i: F.substring("content", i, F.lit(8))))).alias("start"))
+    wanted = named.select("source", "start").distinct()
+    return named.join(pieces.join(wanted, ["source", "start"], "left_semi"), ["source", "start"]).where(F.contains("content", "snippet")).select("question_id", "chunk_id").distinct()
 
 
 def source_suffix(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(F.col("source").endswith(".md")).groupBy("source").agg(F.count("*").alias("n"))
 
 
+def chunk_text(spark, sf_dir):
+    """How many blocks the plain chunker makes of each document."""
+    c = ingest.chunk_text(table(spark, sf_dir, "documents"))
+    return c.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.max("token_count").alias("most_tokens"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         bm25_topk, lexical_stats, term_df, vector_topk, embedding_topk, rrf_hybrid, rrf_weighted, rerank_topk, rerank_needed, retrieve_hybrid, expand_parents, doc_hash_state, doc_hash_dups, upsert_actions,
-        upsert_counts, soft_delete, fingerprint, documents_paging, source_counts, approx_tokens, chunk_units, overlap_blocks, chunk_documents, label_relevance, source_suffix,
+        upsert_counts, soft_delete, fingerprint, documents_paging, source_counts, approx_tokens, chunk_units, overlap_blocks, chunk_documents, chunk_text, label_relevance, source_suffix,
     )
 }
 
@@ -216,14 +231,15 @@ SQL = {
     "expand_parents": f"WITH live AS ({_LIVE}) SELECT l.chunk_id, c.parent_id, length(coalesce(p.content, c.content)) AS context_chars FROM live l JOIN chunks c USING (chunk_id) LEFT JOIN chunks p ON p.chunk_id = c.parent_id",
     "doc_hash_state": "SELECT CASE WHEN text IS NULL THEN 'no text' WHEN trim(h) = '' THEN 'missing' WHEN trim(h) = sha256(text) THEN 'right' ELSE 'stale' END AS state, count(*) AS n FROM (SELECT text, lower(regexp_replace(coalesce(doc_hash, ''), '^sha256:', '')) AS h FROM documents) GROUP BY ALL",
     "doc_hash_dups": "SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
-    "upsert_actions": "WITH l AS (SELECT source, batch_no, max(doc_id) AS doc_id, arg_max(coalesce(text, ''), doc_id) AS text FROM documents GROUP BY ALL), w AS (SELECT *, lag(sha256(text)) OVER (PARTITION BY source ORDER BY batch_no) AS was FROM l) SELECT source, batch_no, doc_id, CASE WHEN trim(text) = '' THEN 'empty' WHEN was IS NULL THEN 'created' WHEN was = sha256(text) THEN 'skipped' ELSE 'updated' END AS action FROM w",
+    "upsert_actions": "WITH h AS (SELECT source, batch_no, doc_id, CASE WHEN trim(coalesce(text, ''), ' ') <> '' THEN sha256(text) END AS own FROM documents), w AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY source ORDER BY batch_no, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM h) SELECT source, batch_no, doc_id, CASE WHEN own IS NULL THEN 'empty' WHEN was IS NULL THEN 'created' WHEN was = own THEN 'skipped' ELSE 'updated' END AS action FROM w",
     "soft_delete": "SELECT batch_no, count(*) FILTER (is_deleted OR batch_no = 8) AS deleted, count(*) AS n FROM documents GROUP BY batch_no",
-    "fingerprint": "SELECT count(*) AS n, coalesce(max(doc_id), 0) AS max_id, coalesce(epoch_us(max(updated_at)), 0) AS max_epoch FROM documents WHERE NOT coalesce(is_deleted, FALSE)",
+    "fingerprint": f"WITH live AS ({_LIVE}) SELECT count(*) AS n, coalesce(max(chunk_id), 0) AS max_id, coalesce(epoch_us(max(created_at)), 0) AS max_epoch FROM live JOIN chunks USING (chunk_id)",
     "documents_paging": "SELECT d.doc_id, d.source, count(*) AS n_chunks, count(*) FILTER (json_extract_string(c.metadata, '$.role') = 'parent') AS n_parents, count(*) FILTER (json_extract_string(c.metadata, '$.role') = 'child') AS n_children FROM documents d JOIN chunks c ON c.document_id = d.doc_id WHERE NOT coalesce(d.is_deleted, FALSE) GROUP BY ALL ORDER BY doc_id DESC LIMIT 20 OFFSET 40",
     "source_counts": "SELECT source, count(*) AS n, count(*) FILTER (is_deleted) AS deleted, count(*) FILTER (text IS NULL) AS without_text, sum(coalesce(length(text), 0))::BIGINT AS chars FROM documents GROUP BY source",
     "approx_tokens": "SELECT chunk_id, CASE WHEN content = '' THEN 0 ELSE floor(h + 0.25 * (length(content) - h))::INT + 1 END AS tokens FROM (SELECT chunk_id, content, length(content) - length(regexp_replace(content, '[\\x{4E00}-\\x{9FFF}]', '', 'g')) AS h FROM chunks)",
-    "overlap_blocks": "WITH b AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS block, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\\x{4E00}-\\x{9FFF}]')), l AS (SELECT *, lag(block) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM b) SELECT doc_id, pos::INT AS pos, sha256(CASE WHEN before IS NULL THEN block ELSE trim(right(before, 20) || chr(10) || block, ' ') END) AS hash FROM l",
-    "label_relevance": f"WITH live AS ({_LIVE}), g AS (SELECT question_id, gold_source, regexp_replace(unnest(gold_snippets), '\\s+', '', 'g') AS snippet FROM golden WHERE question_id IS NOT NULL) SELECT DISTINCT question_id, chunk_id FROM g JOIN live ON source = gold_source WHERE length(snippet) > 0 AND contains(regexp_replace(content, '\\s+', '', 'g'), snippet)",
+    "chunk_units": "WITH t AS (SELECT doc_id, text, list_filter(string_split(text, chr(10) || chr(10)), lambda x: regexp_matches(x, '\\S')) AS p, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S')) AS l FROM documents WHERE text IS NOT NULL) SELECT doc_id, (CASE WHEN len(p) > 1 THEN len(p) WHEN len(l) > 1 THEN len(l) WHEN regexp_matches(text, '\\S') THEN 1 ELSE 0 END)::INT AS units FROM t",
+    "overlap_blocks": "WITH b AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS block, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL), l AS (SELECT *, lag(block) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM b) SELECT doc_id, pos::INT AS pos, sha256(CASE WHEN before IS NULL THEN block ELSE trim(right(before, list_max(list_filter(range(0, 21), lambda i: length(right(before, i)) + 3 * (length(right(before, i)) - length(regexp_replace(right(before, i), '[\\x{4E00}-\\x{9FFF}]', '', 'g'))) <= 20))) || chr(10) || block, ' ') END) AS hash FROM l",
+    "label_relevance": f"WITH live AS ({_LIVE}), g AS (SELECT question_id, gold_source, regexp_replace(unnest(gold_snippets), '\\s+', '', 'g') AS snippet FROM golden WHERE question_id IS NOT NULL) SELECT DISTINCT question_id, chunk_id FROM g JOIN live ON suffix(source, gold_source) AND gold_source <> '' WHERE length(snippet) > 0 AND contains(regexp_replace(content, '\\s+', '', 'g'), snippet)",
     "source_suffix": "SELECT source, count(*) AS n FROM documents WHERE source LIKE '%.md' GROUP BY source",
 }
 SQL["upsert_counts"] = f"SELECT batch_no, action, count(*) AS n FROM ({SQL['upsert_actions']}) GROUP BY ALL"

@@ -69,7 +69,7 @@ _RATIO = "WITH w AS (SELECT event_type, time_bucket(INTERVAL 30 MINUTES, ts) AS
 _HIST = f"SELECT event_type AS kind, le, count(*) FILTER (value <= le) AS cumulative FROM events, (SELECT unnest({BOUNDS}::DOUBLE[]) AS le) GROUP BY 1, 2"
 SQL = {
     "duplicate_actions": f"WITH {_STEPS}, r AS (SELECT run_id, count(*) OVER (PARTITION BY run_id, action, args ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS r FROM s) SELECT run_id, count(*) FILTER (r) AS repeated, count(*) AS n FROM r GROUP BY 1",
-    "compact_history": f"WITH {_STEPS}, n AS (SELECT run_id, row_number() OVER w AS n, sum(chars) OVER (w ROWS UNBOUNDED PRECEDING) AS total FROM s WINDOW w AS (PARTITION BY run_id ORDER BY step DESC)), t AS (SELECT run_id, CASE WHEN n <= 6 THEN 'kept' WHEN total <= 200 THEN 'summarized' ELSE 'dropped' END AS state FROM n) SELECT run_id, count(*) FILTER (state = 'kept') AS kept, count(*) FILTER (state = 'summarized') AS summarized, count(*) FILTER (state = 'dropped') AS dropped FROM t GROUP BY 1",
+    "compact_history": f"WITH {_STEPS}, n AS (SELECT run_id, row_number() OVER w AS n, sum(chars) OVER (w ROWS UNBOUNDED PRECEDING) AS total FROM s WINDOW w AS (PARTITION BY run_id ORDER BY step DESC)), t AS (SELECT run_id, CASE WHEN total > 200 THEN 'dropped' WHEN n <= 6 THEN 'kept' ELSE 'summarized' END AS state FROM n) SELECT run_id, count(*) FILTER (state = 'kept') AS kept, count(*) FILTER (state = 'summarized') AS summarized, count(*) FILTER (state = 'dropped') AS dropped FROM t GROUP BY 1",
     "event_replay": f"WITH {_STEPS}, e AS (SELECT run_id, step, 0 AS half, 'started' AS kind, action FROM s UNION ALL SELECT run_id, step, 1, CASE WHEN failed THEN 'failed' ELSE 'done' END, action FROM s), n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step, half) AS event_id FROM e) SELECT run_id, event_id, kind, action FROM n WHERE event_id > 20",
     "ledger_state": "WITH l AS (SELECT concat_ws(':', user_id, props) AS key, arg_max(event_type, (ts, event_id)) AS last, count(*) AS attempts FROM events GROUP BY 1) SELECT key, CASE last WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'succeeded' ELSE 'unknown' END AS state, attempts FROM l",
     "trajectory_summary": f"WITH {_STEPS}, r AS (SELECT run_id, count(*) AS steps, count(*) FILTER (failed) AS failed, sum(round(latency * 100)::BIGINT) AS latency, count(latency) AS measured FROM s GROUP BY 1) SELECT count(*) AS runs, sum(steps)::BIGINT AS steps, round(sum(failed) / sum(steps), 6) AS invalid_rate, round(avg(steps), 6) AS avg_steps, round(sum(latency) / sum(measured), 4) AS avg_latency, round(count(*) FILTER (failed = 0) / count(*), 6) AS clean_rate FROM r",

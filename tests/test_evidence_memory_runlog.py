@@ -16,9 +16,11 @@ def test_citations(spark):
 
 
 def test_faithfulness(spark):
+    a = spark.createDataFrame([(1, "x. y."), (2, "x"), (3, "根据现有资料无法回答。"), (4, None), (5, "!"), (6, "")], "answer_id bigint, text string")
     v = spark.createDataFrame([(1, True), (1, False), (2, True)], "answer_id bigint, supported boolean")
-    got = {r.answer_id: (r.faithfulness, r.grounded) for r in evidence.faithfulness(v).collect()}
-    assert got == {1: (0.5, False), 2: (1.0, True)}
+    got = {r.answer_id: (r.claims, r.faithfulness, r.grounded, r.refusal, r.low_confidence) for r in evidence.faithfulness(a, v).collect()}
+    assert got[1] == (2, 0.5, False, False, True) and got[2] == (1, 1.0, True, False, False) and got[5] == (0, 0.0, False, False, True)
+    assert got[3] == got[4] == got[6] == (0, None, False, True, False)
 
 
 def test_metrics(spark):
@@ -90,6 +92,7 @@ def test_run_log(spark):
     steps = spark.createDataFrame(rows, "run_id int, step int, action string, args string, failed boolean, chars bigint")
     assert [r.repeated for r in runlog.repeated(steps).orderBy("step").collect()] == [False, False] + [True] * 6
     assert tuple(runlog.compact(steps, 3, 50).first()) == (1, 3, 2, 3)
+    assert tuple(runlog.compact(steps, 3, 9).first()) == (1, 0, 0, 8)  # the budget drops recent steps too
     assert runlog.replay(steps, 14).count() == 2 and runlog.replay(steps).count() == 16
     assert runlog.replay(steps).where("kind = 'failed'").first().event_id == 6
 

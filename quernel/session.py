@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: list[str] = []  # folders that this process asked for
+
+
 def local_session(cores: str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
     """A session for tests and benches. A cluster brings its own."""
     return (
@@ -39,8 +44,18 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
-    return os.path.join(base, f"{purpose}-{uuid.uuid4().hex[:12]}")
+    _made.append(os.path.join(base, f"{purpose}-{uuid.uuid4().hex[:12]}"))
+    return _made[-1]
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the folders that this process wrote below ``spark.checkpoint.dir``; call it when their results have been written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def settle(df: DataFrame, purpose: str) -> DataFrame:

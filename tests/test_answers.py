@@ -81,3 +81,15 @@ def test_postings_are_rebuilt_for_changed_rows_only(spark):
     assert sorted(map(tuple, retrieval.rebuilt(index, new, (3, 3, 0), (3, 4, 1), changed).collect()), key=str) == sorted(map(tuple, retrieval.postings(new).collect()), key=str)
     found = retrieval.bm25(spark.createDataFrame([(-1, "a")], "query_id bigint, content string"), new, 5)
     assert sorted(r.chunk_id for r in found.collect()) == [1, 4]
+
+
+def test_settled_folders_are_cleared(spark):
+    from quernel import session
+
+    df = session.settle(spark.range(3), "some")
+    assert df.count() == 3
+    path = session._made[-1]
+    session.clear(spark)
+    import os
+
+    assert not os.path.exists(path)

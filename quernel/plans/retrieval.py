@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +16,7 @@ from quernel.session import table
 
 #: Queries are all rows whose id is divisible by this, against all rows.
 QUERY_STEP = 50
+BITS = 1 << 24  # of the table of the starts that snippets have
 
 _LIVE = "SELECT c.chunk_id, c.document_id, c.source, c.content, c.embedding::DOUBLE[] AS v FROM chunks c JOIN documents d ON d.doc_id = c.document_id WHERE NOT coalesce(d.is_deleted, FALSE) AND len(c.embedding) = 64 AND len(list_filter(c.embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(c.embedding, lambda x: x <> 0)) > 0"
 _TOKENS = "regexp_extract_all(lower(coalesce({0}, '')), '[\\x{{4E00}}-\\x{{9FFF}}]|(?:[\\p{{N}}]|[^\\P{{L}}\\x{{4E00}}-\\x{{9FFF}}])+')"
@@ -163,19 +168,73 @@ def chunk_documents(spark, sf_dir):
     return c.groupBy("doc_id").agg(F.count_if(F.col("child_no").isNull()).alias("parents"), F.count("child_no").alias("children"), F.max("token_count").alias("most_tokens"))
 
 
-def label_relevance(spark, sf_dir):
-    """Chunks of a source that ends in the golden one and contains a golden snippet, white space aside.
-
-    The distinct sources meet by their ends, chunks and snippets by source and the first eight characters of the snippet.
+def _anchors(rows: DataFrame, key: str, bits: np.ndarray | None = None) -> DataFrame:
+    """(key, source, anchor) of rows(key, source, content): a hash of the first 1, 2, 4, … characters of the content, the longest such start; with ``bits`` of those of all its pieces of these lengths whose bit is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, t in enumerate(b.column(2).to_pylist()):
+                c, size = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1), 1
+                with np.errstate(over="ignore"):
+                    while len(c):
+                        here = c * np.uint64(0x9E3779B97F4A7C15)
+                        here = (here ^ (here >> np.uint64(32))).view(np.int64)
+                        longest = len(t) < 2 * size
+                        if bits is not None:
+                            found.append(np.unique(here[bits[here & len(bits) - 1]]))
+                        elif longest:
+                            found.append(here[:1])
+                        else:
+                            found.append(here[:0])
+                        at.append(np.full(len(found[-1]), i))
+                        if longest:
+                            break
+                        c = c[:-size] * np.uint64(0xBF58476D1CE4E5B9) + (c[size:] ^ (c[size:] >> np.uint64(29))) + np.uint64(size)
+                        size *= 2
+            at = pa.array(np.concatenate(at))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(found))], [key, "source", "anchor"])
+
+    return rows.select(F.col(key).cast("bigint"), "source", "content").where("content IS NOT NULL").mapInArrow(run, f"{key} bigint, source string, anchor bigint")
+
+
+def containing(g: DataFrame, c: DataFrame) -> DataFrame:
+    """(question_id, chunk_id): chunks c(chunk_id, source, content) of a source that ends in the ``gold`` of g(question_id, gold, snippet) and that contain the snippet.
+
+    The distinct sources meet by their ends, chunks and snippets by source and the longest start of the snippet
+    of 1, 2, 4, … characters; pieces of chunks that no snippet starts with are dropped where they are
+    made, and the texts travel once.
     """
-    g = golden_queries(spark, sf_dir).select((-F.col("query_id")).alias("question_id"), F.col("gold_source").alias("source"), F.explode("gold_snippets").alias("snippet"))
-    g = g.select("question_id", F.col("source").alias("gold"), text.squeeze(F.col("snippet")).alias("snippet")).where("length(snippet) > 0 AND gold != ''")
-    c = live(spark, sf_dir).select("chunk_id", "source", text.squeeze(F.col("content")).alias("content"))
     ends = c.select("source").distinct().select("source", F.explode(F.transform(F.sequence(F.lit(1), F.length("source")), lambda i: F.substring("source", i, F.lit(1 << 20)))).alias("gold"))
-    named = g.join(ends, "gold").select("question_id", "source", "snippet", F.left("snippet", F.lit(8)).alias("start"))
-    pieces = c.select("chunk_id", "source", "content", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("content"), F.lit(1))), lambda i: F.substring("content", i, F.lit(8))))).alias("start"))
-    wanted = named.select("source", "start").distinct()
-    return named.join(pieces.join(wanted, ["source", "start"], "left_semi"), ["source", "start"]).where(F.contains("content", "snippet")).select("question_id", "chunk_id").distinct()
+    named = g.join(ends, "gold").select("question_id", "source", "snippet")
+    starts = _anchors(g.select(F.xxhash64("snippet").alias("key"), F.lit("").alias("source"), F.col("snippet").alias("content")).distinct(), "key").select("key", "anchor")
+    bits = np.zeros(BITS, bool)
+    bits[starts.select(F.col("anchor").bitwiseAND(F.lit(BITS - 1)).alias("at")).distinct().toArrow()["at"].to_numpy()] = True
+    shared = g.sparkSession.sparkContext.broadcast(bits)
+    pieces = _anchors(c, "chunk_id", _Shared(shared))
+    wanted = named.withColumn("key", F.xxhash64("snippet")).join(starts, "key").drop("key")
+    pairs = wanted.join(pieces, ["source", "anchor"]).select("question_id", "chunk_id", "snippet").distinct()
+    return pairs.join(c.select("chunk_id", "content"), "chunk_id").where(F.contains("content", "snippet")).select("question_id", "chunk_id").distinct()
+
+
+class _Shared:
+    """A broadcast array, read in the task."""
+
+    def __init__(self, shared):
+        self.shared = shared
+
+    def __len__(self) -> int:
+        return len(self.shared.value)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.shared.value[at]
+
+
+def label_relevance(spark, sf_dir):
+    """Chunks of a source that ends in the golden one and contains a golden snippet, white space aside."""
+    g = golden_queries(spark, sf_dir).select((-F.col("query_id")).alias("question_id"), F.col("gold_source").alias("gold"), F.explode("gold_snippets").alias("snippet"))
+    g = g.select("question_id", "gold", text.squeeze(F.col("snippet")).alias("snippet")).where("length(snippet) > 0 AND gold != ''")
+    return containing(g, live(spark, sf_dir).select("chunk_id", "source", text.squeeze(F.col("content")).alias("content")))
 
 
 def source_suffix(spark, sf_dir):

@@ -133,6 +133,18 @@ def test_searches_copy_neither_side(spark, monkeypatch):
         assert "Cogroup" not in plan and "Cartesian" not in plan and "Generate" not in plan
 
 
+def test_snippets_of_any_length_are_found_anywhere(spark):
+    from quernel.plans.retrieval import containing
+
+    body = "abcdefgh" * 9 + "xyz" + "0123456789" * 5
+    c = spark.createDataFrame([(1, "kb/a.md", body), (2, "kb/b.md", body), (3, "kb/a.md", "同步前置" + "彩排时段"), (4, "kb/a.md", ""), (5, None, body)], "chunk_id bigint, source string, content string")
+    g = [(1, "a.md", "xyz"), (2, "a.md", body), (3, "md", "x"), (4, "kb/a.md", "前置彩"), (5, "a.md", "ghxyz0123"), (6, "a.md", body + "!"), (7, "c.md", "xyz")]
+    got = containing(spark.createDataFrame(g, "question_id bigint, gold string, snippet string"), c)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 1), (3, 1), (3, 2), (4, 3), (5, 1)]
+    assert plan.count("explode") == 1  # of the ends of sources; texts aren't copied for their pieces
+
+
 def test_payload_joins_after_the_cut(spark):
     rows = spark.createDataFrame([(i, f"w{i} x", [1.0, float(i)]) for i in range(1, 6)], "chunk_id bigint, content string, embedding array<float>")
     found = retrieval.dense(rows.selectExpr("chunk_id AS query_id", "embedding"), rows, 3)

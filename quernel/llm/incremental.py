@@ -11,8 +11,9 @@ changes only the keys around it, whatever the order of the paragraphs, and commo
 keys. A replaced word that is rarer than its neighbours breaks every run over it, so the words that
 the first batch had at most RARE_WORD times are keys on their own, as far as they are among the rarest
 of the text of which a repetition must share one. A pair is a candidate if it shares any key and if
-the lengths allow the exact check. A key belongs to the first row of a cluster
-that has it, so that a hot group of near copies has each of its keys once.
+the lengths allow the exact check. Rows that repeat an earlier one have their keys in tables of their own:
+a new row that repeats none of the rows that represent themselves is held against these too, so that
+a link through any row of a cluster is found, and a hot group of near copies is met once.
 
 A key of more than SMALL_BUCKET rows of a batch is hot. Its rows are compared with its first row, and
 those that repeat it are done. The others go by finer keys, each made of the hot key and one of the
@@ -212,6 +213,7 @@ class History:
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path, self.batches, self.hot_batches, self.moved = spark, path or shared_dir(spark, "history"), [], [], 0
+        self.member_keys = 0
         self.counts = None  # a broadcast table of CELLS numbers
         self.weights: dict[int, np.ndarray] = {}
 
@@ -236,6 +238,14 @@ class History:
             parts.append(self._read("finer", f"key bigint, uid bigint, m int, {', '.join(f'{c} bigint' for c in SKETCH)}", [n]))
         return reduce(DataFrame.unionByName, parts).join(self.reps().select("uid"), "uid", "left_anti")
 
+    def members(self) -> DataFrame:
+        """(key, uid, m, s0, …) of the rows that repeat an earlier one, in the same form."""
+        return self._read("members", f"key bigint, uid bigint, m int, {', '.join(f'{c} bigint' for c in SKETCH)}", self.batches)
+
+    def member_words(self) -> DataFrame:
+        """(uid, w) of these rows."""
+        return self._read("memberwords", "uid bigint, w binary", self.batches)
+
 
 def _put(df: DataFrame, path: str, **counts) -> tuple[DataFrame, dict]:
     """The table written to a folder, its number of rows as ``n``, and other aggregates of it; all counted while it is written."""
@@ -435,7 +445,7 @@ def take(history: History, batch: DataFrame, number: int, rows: int | None = Non
     buckets, seen = _settled(sizes, "buckets", hot=F.count_if(F.col("n") > SMALL_BUCKET), rows=F.coalesce(F.sum("n"), F.lit(0)))
     shared, hot_now = _slim(mine, buckets, seen["n"], "key"), seen["hot"]
     some = shared.where(f"n <= {SMALL_BUCKET}").drop("first", "n")
-    pairs, asked, many, finer = _near(_small(some, seen["rows"] * WIDE), some), mine, own["keys"], None
+    pairs, asked, many, finer, kept = _near(_small(some, seen["rows"] * WIDE), some), mine, own["keys"], None, mine
     if hot_now:
         pairs = pairs.unionByName(shared.where(f"n > {SMALL_BUCKET} AND uid != first").selectExpr("first AS old", "uid AS new", "FALSE AS past"))
     if hot_now or history.hot_batches:
@@ -443,9 +453,10 @@ def take(history: History, batch: DataFrame, number: int, rows: int | None = Non
         if history.hot_batches:
             hot = hot.unionByName(history._read("hot", "key bigint", history.hot_batches[-1:])).distinct()
         hot, seen = _put(hot, f"{history.path}/hot-{number}")
+        kept = _slim(mine, hot, seen["n"], "key", "left_anti")
         owners, seen = _settled(_slim(mine.select("key", "uid"), hot, seen["n"], "key").groupBy("uid").agg(F.collect_set("key").alias("keys")), "owners")
         finer, seen = _put(_finer(_slim(fresh.drop("keys"), owners, seen["n"], "uid"), history.counts), f"{history.path}/finer-{number}")
-        asked, many = mine.unionByName(finer), many + seen["n"]
+        asked, many, kept = mine.unionByName(finer), many + seen["n"], kept.unionByName(finer)
     known = fresh
     if history.batches:
         pairs = pairs.unionByName(_near(history.keyed(), _small(asked, many * WIDE), past=True))
@@ -459,6 +470,19 @@ def take(history: History, batch: DataFrame, number: int, rows: int | None = Non
         more, _ = _verified(_near(few, few), fresh, fresh, history.weights)
         led = _led(left.where(f"n > {SMALL_BUCKET}").drop("n"), fresh, history.weights)
         edges, seen = _settled(reduce(DataFrame.unionByName, [e for e in (edges, more, led) if e is not None]), "edges", links=F.count_if(~F.col("past")))
+    if history.moved or hot_now:
+        # rows without a link so far meet those that repeat another: of the history, and of the batch where not all pairs of a key were compared
+        done = edges.select(F.col("new").alias("uid")).distinct()
+        rest = asked.join(done, "uid", "left_anti")
+        through, texts = [], []
+        if history.moved:
+            through, texts = [_near(_small(history.members(), history.member_keys * WIDE), rest, past=True)], [history.member_words()]
+        if hot_now:
+            through, texts = [*through, _near(kept.join(done, "uid", "left_semi"), rest)], [*texts, fresh.select("uid", "w")]
+        more, also = _verified(reduce(DataFrame.unionByName, through), reduce(DataFrame.unionByName, texts), fresh, history.weights)
+        if history.moved:
+            more = more.join(history.reps().withColumnRenamed("uid", "old"), "old", "left").select(F.coalesce("rep", "old").alias("old"), "new", "past")
+        edges, seen = edges.unionByName(more), {k: seen[k] + also[k] for k in ("n", "links")}
     links = edges.where("NOT past").select(F.col("old").alias("a"), F.col("new").alias("b"))
     moved = _smallest(links, seen["links"]) if seen["links"] else spark.createDataFrame([], "uid bigint, rep bigint")
     if history.batches:
@@ -467,8 +491,11 @@ def take(history: History, batch: DataFrame, number: int, rows: int | None = Non
         earliest = past.groupBy(F.coalesce("rep", "uid").alias("rep")).agg(F.min("earlier").alias("earlier"))
         nodes = moved.unionByName(past.where("rep IS NULL").select("uid", F.col("uid").alias("rep")).distinct())
         moved = _slim(nodes, earliest, seen["n"], "rep", "left").select("uid", F.coalesce("earlier", "rep").alias("rep"))
-    _, seen = _put(moved.where("uid != rep"), f"{history.path}/reps-{number}")
+    gone, seen = _put(moved.where("uid != rep"), f"{history.path}/reps-{number}")
     history.moved += seen["n"]
+    gone = _small(gone.select("uid"), seen["n"])
+    history.member_keys += _put(kept.join(gone, "uid", "left_semi"), f"{history.path}/members-{number}")[1]["n"]
+    fresh.select("uid", "w").join(gone, "uid", "left_semi").write.parquet(f"{history.path}/memberwords-{number}")
     history.batches.append(number)
     if finer is not None:
         history.hot_batches.append(number)

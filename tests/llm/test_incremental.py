@@ -41,6 +41,19 @@ def test_documents_over_batches(spark):
     assert not {x for x in got if x[2] in (104, 105, 106, 107, 110)}
 
 
+def test_links_through_rows_that_repeat_another(spark):
+    """A row near a repetition of the first batch, but not near the row that it repeats, is in its cluster as it would be in one batch."""
+    r = random.Random(21)
+    new = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=9))
+    a = [new() for _ in range(100)]
+    b = [new() if i % 8 == 3 else x for i, x in enumerate(a)]
+    c = [new() if i % 8 == 6 else x for i, x in enumerate(b)]
+    rows = [(0, 1, "", 0, " ".join(a)), (0, 2, "", 0, " ".join(b))] + [(0, i, "", 0, text(r)) for i in range(10, 40)]
+    want = {("documents", 1, 2), ("documents", 1, 3)}
+    assert run(spark, rows + [(0, 3, "", 0, " ".join(c))]) == want
+    assert run(spark, rows + [(0, 3, "", 1, " ".join(c))]) == want
+
+
 def test_memories_by_owner_number_and_product(spark):
     r = random.Random(4)
     base = [f"The default port of the Kestin FN-{n} is {n * 7 % 1000} seats. " + text(r, 20) for n in range(100, 140)]

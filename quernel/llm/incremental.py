@@ -43,8 +43,9 @@ REACH = 3
 SMALL_BUCKET = 1_000  # rows of a batch with one key above which the key is hot
 LEADERS = 1_000  # rows of a large bucket that are compared at once with all the rows after them
 RARE_WORD = 16  # a word that the first batch has at most so many times is a key on its own
-BROADCAST_ROWS = 1_000_000  # a side of at most so many rows of two numbers is broadcast; beyond it the join shuffles
-WIDE = 3  # rows with sketches or words count so many times
+BROADCAST_ROWS = 500_000  # a side of at most so many rows of two numbers is broadcast; beyond it the join shuffles
+WIDE = 4  # rows with sketches count so many times
+WORDY = 50  # rows with the words of a text
 SHARED_WORDS = 0.83  # what a repetition shares at least: with an eighth of the words changed, seven eighths; some tolerance
 SCORED = 0.75  # pairs that can't share so many of their words are dropped without a score
 CELLS_OF_TEXT = 256  # cells into which the words of a text are counted to see how many two texts can share
@@ -389,7 +390,7 @@ def _verified(pairs: DataFrame, known: DataFrame, firsts: DataFrame, weights: di
     """
     near, seen = _settled(pairs.distinct(), "near")
     with_old = _slim(known.select(F.col("uid").alias("old"), F.col("w").alias("wo")), near, seen["n"], "old")
-    with_both = _slim(firsts.select(F.col("uid").alias("new"), F.col("w").alias("wn")), with_old, seen["n"] * WIDE, "new")
+    with_both = _slim(firsts.select(F.col("uid").alias("new"), F.col("w").alias("wn")), with_old, seen["n"] * WORDY, "new")
     return _settled(_score(with_both, weights), "edges", links=F.count_if(~F.col("past")))
 
 

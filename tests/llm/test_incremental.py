@@ -144,3 +144,20 @@ def test_hot_keys_keep_pairs_that_are_not_with_the_first_row(spark, monkeypatch)
     assert run(spark, rows) == want
     monkeypatch.setattr(inc, "BROADCAST_ROWS", 10)  # the same where every join shuffles
     assert run(spark, rows) == want
+
+
+def test_words_are_broadcast_for_few_pairs_only(spark, monkeypatch):
+    """What the driver holds for a join goes by what its rows weigh: a row with the words of a text counts at least 50 rows of two numbers."""
+    small, seen = inc._small, []
+
+    def watched(df, rows):
+        if "wo" in df.columns:
+            seen.append((rows, df.count()))
+        return small(df, rows)
+
+    monkeypatch.setattr(inc, "_small", watched)
+    r = random.Random(12)
+    base = [text(r) for _ in range(10)]
+    run(spark, [(0, i, "", 0, t) for i, t in enumerate(base)] + [(0, 50 + i, "", 0, changed(r, t, 0.05)) for i, t in enumerate(base)])
+    assert any(n for _, n in seen) and all(rows >= 50 * n for rows, n in seen)
+    assert inc.BROADCAST_ROWS <= 500_000

@@ -30,7 +30,6 @@ SIGN_LOOKS = {"‐": "-", "‑": "-", "﹣": "-", "‒": "–", "−": "–", "
 RADICAL_LOOKS = ("⻅⻆⻉⻋⻓⻔⻙⻚⻛⻜⻝⻢⻣⻤⻥⻦⻨⻩⻬⻮⻰", "见角贝车长门韦页风飞食马骨鬼鱼鸟麦黄齐齿龙")
 #: Names of characters whose compatibility form is only another way to store the same look.
 SAME_LOOK = re.compile(r"LIGATURE|DIGRAPH|ROMAN NUMERAL|KANGXI RADICAL|CJK RADICAL|DOT LEADER|ELLIPSIS|MICRO SIGN|QUAD|SPACE|HANGUL LETTER|LATIN SMALL LETTER (?:DZ|LJ|NJ)|LATIN CAPITAL LETTER (?:DZ|LJ|NJ|L WITH SMALL LETTER J|N WITH SMALL LETTER J|D WITH SMALL LETTER Z)|FORM$")
-_SPACES = re.compile(r"[^\S\n]+(?=\n|$)")
 _JOINER = re.compile("[‌‍]")
 
 
@@ -70,14 +69,22 @@ def _joins(c: str) -> bool:
 
 def skeleton(text: str) -> str:
     if text.isascii() and (text.isprintable() or text.replace("\n", "").isprintable()):
-        return _SPACES.sub("", text).strip() if " \n" in text else text.strip()
+        return _trimmed(text) if " \n" in text else text.strip()
     text = unicodedata.normalize("NFD", text.replace("\r\n", "\n"))
     if _JOINER.search(text):
         bare = text.translate({i: "" for i in (*range(0xFE00, 0xFE10), 0x200B, 0x2060, 0xFEFF, 0xAD, 0x200E, 0x200F)})
         text = _JOINER.sub(lambda m: m[0] if 0 < m.start() < len(bare) - 1 and _joins(bare[m.start() - 1]) and _joins(bare[m.start() + 1]) else "", bare)
-    if not prototypes().keys().isdisjoint(map(ord, set(text))):
-        text = unicodedata.normalize("NFD", text.translate(prototypes()))
-    return _SPACES.sub("", text).strip()
+    if found := prototypes().keys() & map(ord, set(text)):
+        # no prototype has a character that has one itself, so the order is free
+        for i in found:
+            text = text.replace(chr(i), prototypes()[i])
+        text = unicodedata.normalize("NFD", text)
+    return _trimmed(text)
+
+
+def _trimmed(text: str) -> str:
+    """Without the blanks at the ends of lines and around the text."""
+    return "\n".join(map(str.rstrip, text.split("\n"))).strip()
 
 
 def one_form(df: DataFrame, key: str, text: str) -> DataFrame:

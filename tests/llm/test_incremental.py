@@ -161,3 +161,24 @@ def test_words_are_broadcast_for_few_pairs_only(spark, monkeypatch):
     run(spark, [(0, i, "", 0, t) for i, t in enumerate(base)] + [(0, 50 + i, "", 0, changed(r, t, 0.05)) for i, t in enumerate(base)])
     assert any(n for _, n in seen) and all(rows >= 50 * n for rows, n in seen)
     assert inc.BROADCAST_ROWS <= 500_000
+
+
+def test_waiting_batches_are_one_run(spark, monkeypatch):
+    """The history is probed once for all batches that wait, and the rows are those of one batch after the other, whatever the order of the ids."""
+    probes, keyed = [], inc.History.keyed
+    monkeypatch.setattr(inc.History, "keyed", lambda self: probes.append(1) or keyed(self))
+    r = random.Random(13)
+    rows, ids = [], r.sample(range(1000), 60)
+    for i in range(12):  # chains of texts, each near the one before it, in any batches
+        t = text(r)
+        for k in range(5):
+            rows.append((0, ids[5 * i + k], "", r.randrange(5), t))
+            t = changed(r, t, 0.1)
+    got = run(spark, rows)
+    assert sum(probes) <= 1
+    df = spark.createDataFrame(rows, "kind int, id bigint, domain string, batch_no int, text string")
+    whole, history, want = inc._settled(inc.read(df), "words")[0], inc.History(spark), set()
+    for b in range(5):
+        for x in inc.take(history, whole.where(f"batch_no = {b}"), b).collect():
+            want.add(("documents", *sorted((x.uid // 2, x.rep // 2))))
+    assert got == want and len(got) > 20

@@ -291,7 +291,7 @@ class History:
 def _put(df: DataFrame, path: str, **counts) -> tuple[DataFrame, dict]:
     """The table written to a folder, its number of rows as ``n``, and other aggregates of it; all counted while it is written."""
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in counts.items())).write.parquet(path)
+    df.observe(seen, F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in counts.items())).write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
 
 
@@ -590,7 +590,7 @@ def take(history: History, batch: DataFrame, number: int, rows: int | None = Non
     gone = _settle_batches(history, edges, seen["n"], seen["links"], number, batches or [number]).select("uid")
     n = history.moved - before
     history.member_keys += _put(kept(gone, n, "left_semi"), f"{history.path}/members-{number}")[1]["n"]
-    _slim(fresh.select("uid", "w"), gone, n, "uid", "left_semi").write.parquet(f"{history.path}/memberwords-{number}")
+    _slim(fresh.select("uid", "w"), gone, n, "uid", "left_semi").write.option("compression", "zstd").parquet(f"{history.path}/memberwords-{number}")
     history.batches.append(number)
     if finer is not None:
         history.hot_batches.append(number)
@@ -611,7 +611,7 @@ def repeats(rows: DataFrame, spark: SparkSession) -> DataFrame:
     run. Repeated ids count once. An empty input gives an empty result.
     """
     path = shared_dir(spark, "words")
-    read(rows).write.partitionBy("batch_no").parquet(path)
+    read(rows).write.option("compression", "zstd").partitionBy("batch_no").parquet(path)
     schema = "uid bigint, exact binary, w binary, salt bigint, batch_no int"
     whole = spark.read.schema(schema).parquet(path)
     sizes = [(r["batch_no"], r["n"]) for r in whole.groupBy("batch_no").agg(F.count("*").alias("n")).orderBy("batch_no").collect()]
